@@ -91,7 +91,8 @@ def branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     A branch is named by its leaf. Branches are ranked by the leaf's score, then by depth, both descending, then by the
     smaller leaf. ``nodes`` has conv_id, node (unique in its conversation), parent and score.
     """
-    jumps = _depths(nodes.select("conv_id", "node", "parent"))
+    nodes = materialised(nodes.select("conv_id", "node", "parent", "score"))
+    jumps = _depths(nodes)
     full = jumps[-1].where("up is null").select("conv_id", "node", "depth")
     parents = nodes.where("parent is not null").select(F.col("conv_id").alias("p_conv"), F.col("parent").alias("p_node")).distinct()
     leaf = full.join(parents, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("node") == F.col("p_node")), "left_anti")
@@ -102,8 +103,9 @@ def branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     # From the farthest jump to the nearest, each round adds the nodes that lie that far above those found.
     for t in reversed(jumps[:-1]):
         j = t.where("up is not null").select(F.col("conv_id").alias("j_conv"), F.col("node").alias("j_node"), "up")
-        above = path.join(j, F.col("conv_id").eqNullSafe(F.col("j_conv")) & (F.col("node") == F.col("j_node")))
-        path = path.unionByName(above.select("conv_id", "branch", F.col("up").alias("node")))
+        above = path.join(j, F.col("conv_id").eqNullSafe(F.col("j_conv")) & (F.col("node") == F.col("j_node")), "left")
+        both = F.explode(F.array_compact(F.array("node", "up")))
+        path = above.select("conv_id", "branch", both.alias("node"))
     d = full.select(F.col("conv_id").alias("d_conv"), F.col("node").alias("d_node"), "depth")
     return path.join(d, F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("node") == F.col("d_node"))).select(
         "conv_id", "branch", "node", "depth"
