@@ -49,3 +49,33 @@ def text_or_empty(name: str = "text") -> Column:
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether a table has ``rows`` rows at most, found by reading no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def map_rows(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
+    """Apply ``fn(*values) -> iterable of tuples`` to each row inside Arrow batches; one scan stage, no shuffle.
+
+    Batches are taken ``rows`` at a time and leave as soon as ``flush`` bytes of strings have gathered, so a worker holds
+    little more than the longest texts it meets.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                held, out = 0, []
+                for values in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    for row in fn(*values):
+                        out.append(row)
+                        held += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+                    if held >= flush:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), target)], schema=target)
+                        held, out = 0, []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), target)], schema=target)
+
+    return df.select(*columns).mapInArrow(run, schema)

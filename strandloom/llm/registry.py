@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
+from . import chat_format, ogg_media, secret_scan, source_mix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,47 @@ WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g"""
+
+
+@_query
+def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an Ogg file and read back."""
+    return ogg_media.inspect(ogg_media.store(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the target weights of their sources."""
+    return source_mix.taken(source_mix.mix(table(spark, sf_dir, "documents"))).drop("source")
+
+
+# The capped targets in one pass: sources by size per weight; those before the first that stays under its cap are capped.
+_TAKEN_SQL = """
+d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM {docs}
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, CAST((SELECT sum(n) FROM s) AS BIGINT) - coalesce(CAST(sum(3 * n) OVER (ORDER BY CAST(3 * n AS DOUBLE) / w, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS open_n,
+    CAST(sum(w) OVER (ORDER BY CAST(3 * n AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS open_w,
+    row_number() OVER (ORDER BY CAST(3 * n AS DOUBLE) / w, source NULLS LAST) AS k FROM s
+), f AS (SELECT * FROM o WHERE open_n * w <= 3 * n * open_w ORDER BY k LIMIT 1),
+g AS (
+  SELECT o.source, o.n AS source_size, CASE WHEN o.k < f.k THEN CAST(3 * o.n AS DOUBLE) ELSE CAST(f.open_n * o.w AS DOUBLE) / f.open_w END AS target
+  FROM o, f
+), p AS (
+  SELECT d.*, source_size, target, CAST(round_even(target, 0) AS BIGINT) AS q,
+    sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, {source} CAST(size AS BIGINT) AS size, source_size, target, CAST(
+  greatest(0, least(size, q - a)) + greatest(0, least(size, q - a - source_size)) + greatest(0, least(size, q - a - 2 * source_size))
+  AS BIGINT) AS taken FROM p"""
+ORACLE_SQL["op3_source_mix"] = "WITH " + _TAKEN_SQL.format(docs="documents", source="")
+
+
+@_query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: base patterns and inferred formats."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
