@@ -69,19 +69,17 @@ def _depths(nodes: DataFrame) -> list[DataFrame]:
     )
     tables = [materialised(step)]
     n = nodes.count()
-    # A thread has at most n levels; if pointers are still open after that, they run in a cycle.
+    # A thread has at most n levels; if pointers are still open after that, they run in a cycle. Only nodes whose pointer
+    # is open take part in a round, and most threads are short.
     while 2 ** len(tables) <= 2 * n and not tables[-1].where("up is not null").isEmpty():
         t = tables[-1]
-        a, b = t.alias("a"), t.alias("b")
-        up = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")), "left")
-        tables.append(
-            materialised(
-                up.select(
-                    F.col("a.conv_id").alias("conv_id"), F.col("a.node").alias("node"), F.col("b.up").alias("up"),
-                    (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"),
-                )
-            )
-        )
+        a, b = t.where("up is not null").alias("a"), t.alias("b")
+        up = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")))
+        farther = up.select(
+            F.col("a.conv_id").alias("conv_id"), F.col("a.node").alias("node"), F.col("b.up").alias("up"),
+            (F.col("a.depth") + F.col("b.depth")).alias("depth"),
+        )
+        tables.append(materialised(farther.unionByName(t.where("up is null"))))
     return tables
 
 
