@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ogg_media, secret_scan, source_mix
+from . import chat_format, decontaminate, html_text, language_id, license_scan, ngram_join, ogg_media, repeat_removal, secret_scan, source_mix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,39 @@ ORACLE_SQL["op3_source_mix"] = "WITH " + _TAKEN_SQL.format(docs="documents", sou
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: base patterns and inferred formats."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are similar."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark, and where."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without the 200-byte strings that occur more than once."""
+    return repeat_removal.digest(repeat_removal.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
