@@ -51,11 +51,11 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def map_rows(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
-    """Apply ``fn(*values) -> iterable of tuples`` to each row inside Arrow batches; one scan stage, no shuffle.
+def map_chunks(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
+    """Apply ``fn(columns as lists) -> iterable of tuples`` to chunks of rows inside Arrow batches; one stage, no shuffle.
 
-    Batches are taken ``rows`` at a time and leave as soon as ``flush`` bytes of strings have gathered, so a worker holds
-    little more than the longest texts it meets.
+    Chunks have ``rows`` rows at most, and output leaves as soon as ``flush`` bytes of strings have gathered, so a worker
+    holds little more than the longest texts it meets.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,19 +63,30 @@ def map_rows(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), target)], schema=target)
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
                 held, out = 0, []
-                for values in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    for row in fn(*values):
-                        out.append(row)
-                        held += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+                for row in fn(*[c.to_pylist() for c in batch.slice(at, rows).columns]):
+                    out.append(row)
+                    held += sum(len(v) for v in row if isinstance(v, (str, bytes)))
                     if held >= flush:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), target)], schema=target)
+                        yield batch_of(out)
                         held, out = 0, []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), target)], schema=target)
+                    yield batch_of(out)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
+    """``map_chunks`` with ``fn(*values) -> iterable of tuples`` for each row."""
+
+    def each(*lists):
+        for values in zip(*lists, strict=True):
+            yield from fn(*values)
+
+    return map_chunks(df, columns, each, schema, rows, flush)

@@ -26,22 +26,26 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_table, map_rows, materialised
+from .common import drop_table, is_small, map_chunks, materialised
 from .components import components
 
 SIZE = 5
 #: Links: PART * |intersection| >= WHOLE-part of the union, in whole numbers (100 and 80).
 UNION_PARTS, SHARED_PARTS = 80, 100
 
+CHUNK = 128
 RUN = 1 << 22
 LOCAL = 4
 COMMON = 32
 MAX_COMMON = 1 << 20
 #: Summed counts of common prefix shingles per extra match, doubling; and the most matches asked for.
 COST, MAX_MATCHES = 64, 8
+#: Pairs up to which the ids of their classes are sent to all tasks.
+MAX_ASKED = 1 << 19
 
 
 def normal(text: str | None) -> bytes:
@@ -49,9 +53,9 @@ def normal(text: str | None) -> bytes:
     return b" ".join(words.lowered(text).split())
 
 
-def shingle_set(data: bytes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(words.shingles(words.word_hashes(data), SIZE))
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return [np.unique(x) for x in words.shingle_lists(texts, SIZE)]
 
 
 def class_of(data: bytes) -> int:
@@ -75,17 +79,17 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pd.DataFrame({"t": u[c >= LOCAL].view(np.int64), "c": c[c >= LOCAL]})
 
         for b in batches:
-            for text in b["text"]:
-                s = shingle_set(words.lowered(text))
-                held.append(s)
-                n += len(s)
+            texts = b["text"].tolist()
+            for at in range(0, len(texts), CHUNK):
+                found = words.shingle_lists([words.lowered(t) for t in texts[at : at + CHUNK]], SIZE)
+                held += found
+                n += sum(map(len, found))
                 if n >= RUN:
                     yield flush()
                     held, n = [], 0
         if held:
             yield flush()
 
-    spark = docs.sparkSession
     counted = materialised(docs.select("text").mapInPandas(count, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON))
     # The least power of two that leaves MAX_COMMON shingles or fewer.
     steps = counted.groupBy(F.floor(F.log2("c")).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -102,70 +106,80 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t[order], rows["c"].to_numpy(np.int64)[order]
 
 
-def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Prefix shingles of a set in the global order, and the matches that they stand for."""
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Prefix shingles of a set in the global order (rare ones, common ones), and the matches that they stand for."""
     n = len(s)
-    heavy = np.zeros(n, bool)
-    cost = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        heavy = common[at] == s
-        cost = np.where(heavy, counts[at], 0)
-    ordered = np.argsort(cost, kind="stable")  # within equal counts, the set's own order by hash stays
     base = n - need(n) + 1
-    total = int(cost[ordered[:base]].sum())
+    if not len(common):
+        return s[:base], s[:0], 1
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    heavy = common[at] == s
+    rare, often = s[~heavy], s[heavy]
+    if len(rare) >= base:
+        return rare[:base], often[:0], 1
+    cost = counts[at[heavy]]
+    order = np.argsort(cost, kind="stable")  # within equal counts, the set's own order by hash stays
+    total = int(cost[order[: base - len(rare)]].sum())
     matches = max(1, min(1 + int(math.log2(1 + total / COST)), MAX_MATCHES, need(n)))
-    return s[ordered[: base + matches - 1]], matches
+    return rare, often[order[: base + matches - 1 - len(rare)]], matches
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, cls, n, matches, prefix``; cls is null without words."""
+    """``doc_id, cls, n, matches, rare, often``; cls is null without words."""
     common, counts = common_shingles(docs)
     sent = docs.sparkSession.sparkContext.broadcast((common, counts))
 
-    def one(doc_id, text):
-        data = normal(text)
-        if not data:
-            yield doc_id, None, 0, 0, None
-            return
-        s = shingle_set(data)
-        p, matches = prefix(s, *sent.value)
-        yield doc_id, class_of(data), len(s), matches, p.view(np.int64).tolist()
+    def chunk(ids, texts):
+        data = [normal(t) for t in texts]
+        for doc_id, d, s in zip(ids, data, shingle_sets(data), strict=True):
+            if len(d):
+                rare, often, matches = prefix(s, *sent.value)
+                yield doc_id, class_of(d), len(s), matches, rare.view(np.int64), often.view(np.int64)
+            else:
+                yield doc_id, None, 0, 0, None, None
 
-    return map_rows(docs, ["doc_id", "text"], one, "doc_id bigint, cls bigint, n bigint, matches int, prefix array<bigint>")
+    schema = "doc_id bigint, cls bigint, n bigint, matches int, rare array<bigint>, often array<bigint>"
+    return map_chunks(docs, ["doc_id", "text"], chunk, schema, rows=CHUNK)
 
 
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cls, s``: shingle sets of the wanted classes, from the text of one document of each."""
-    ids = classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("w_id"), F.col("cls").alias("w_cls"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("w_cls", "text")
+def _texts_of(docs: DataFrame, reps: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """``cls, to, text``: asked (cls, to) with the text of one document of each class.
 
-    def sets(batches):
-        seen: set[int] = set()  # repeated rows of one id meet in one task
-        for b in batches:
-            rows = []
-            for cls, text in zip(b["w_cls"], b["text"], strict=True):
-                data = normal(text)
-                if cls not in seen and class_of(data) == cls:
-                    seen.add(cls)
-                    rows.append((cls, shingle_set(data).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["cls", "s"])
-
-    return texts.mapInPandas(sets, "cls bigint, s array<bigint>")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = materialised(_sets(docs, classes, wanted))
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("s_b"))
+    Few ids are sent to all tasks, more are joined by a shuffle on ids.
+    """
+    ids = asked.join(reps.select("cls", "doc_id"), "cls").select(F.col("doc_id").alias("w_id"), "cls", "to")
+    ids = F.broadcast(ids) if few else ids
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("cls", "to", "text")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``cls, to, s``: the shingle set for each asked row."""
+
+    def chunk(classes, to, texts):
+        data = [normal(t) for t in texts]
+        for c, x, d, s in zip(classes, to, data, shingle_sets(data), strict=True):
+            if class_of(d) == c:  # another text of the same id is not meant
+                for one in x:
+                    yield c, one, s.view(np.int64)
+
+    return map_chunks(texts, ["cls", "to", "text"], chunk, "cls bigint, to bigint, s array<bigint>", rows=CHUNK)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    The set of a leaves the scan addressed to b, where b's own set waits, so each pair ships one set.
+    """
+    ask = pairs.groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("to"))
+    wait = pairs.select(F.col("b").alias("cls")).distinct().withColumn("to", F.array("cls"))
+    few = is_small(pairs, MAX_ASKED)
+    left = _sets(_texts_of(docs, reps, ask, few)).select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("s").alias("s_a"))
+    right = _sets(_texts_of(docs, reps, wait, few)).select(F.col("cls").alias("w"), F.col("s").alias("s_b"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     union = F.size("s_a") + F.size("s_b") - shared
-    found = pairs.join(left, "a").join(right, "b").where(SHARED_PARTS * shared >= UNION_PARTS * union)
-    out = materialised(found.select("a", "b"))
-    drop_table(sets)
-    return out
+    found = left.join(right, F.col("b") == F.col("w")).where(SHARED_PARTS * shared >= UNION_PARTS * union)
+    return materialised(found.select("a", "b").distinct())
 
 
 def _fits(n: str, m: str):
@@ -173,24 +187,36 @@ def _fits(n: str, m: str):
     return (F.col(n) * SHARED_PARTS >= F.col(m) * UNION_PARTS) & (F.col(m) * SHARED_PARTS >= F.col(n) * UNION_PARTS)
 
 
+def _shared_postings(rows: DataFrame) -> DataFrame:
+    """``t, cls, pivot``: prefix shingles that several classes have, with each of these and the smallest of them.
+
+    Rare shingles are few in any run of any task, so a window over one is small. Common ones may be in a third of all
+    documents: their groups are summed before the shuffle, and the join back is one that adaptive execution splits.
+    """
+    rare = rows.select("cls", F.explode("rare").alias("t"))
+    w = W.partitionBy("t")
+    low = rare.select("t", "cls", F.min("cls").over(w).alias("pivot"), F.max("cls").over(w).alias("hi"))
+    often = rows.select("cls", F.explode("often").alias("t"))
+    groups = often.groupBy("t").agg(F.min("cls").alias("pivot"), F.max("cls").alias("hi")).where("pivot <> hi")
+    high = often.join(groups, "t").select("t", "cls", "pivot", "hi")
+    return low.unionByName(high).where("pivot <> hi").select("t", "cls", "pivot").distinct()
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, roots)``: doc_id, cls, n of every row; cls and root of the classes that link to another class."""
     rows = materialised(_prefixes(docs))
-    # One row per word sequence; the prefix depends on nothing else.
-    full = rows.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")
-    )
-    classes = materialised(full)
-    small = classes.select("cls", "n", "matches")
-    posting = classes.select("cls", F.explode("prefix").alias("t"))
-    groups = posting.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("pivot")).where("c > 1")
-    shared = materialised(posting.join(groups, "t").select("t", "cls", "pivot"))
+    full = rows.where("cls is not null")
+    reps = materialised(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("matches").alias("matches")))
+    small = reps.select("cls", "n", "matches")
+    shared = materialised(_shared_postings(full))
 
-    first = shared.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    # First each class with the pivot that it shares most prefix shingles with.
+    first = shared.where("cls <> pivot").groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     sized = first.join(small.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(
         small.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"
     )
-    links = _linked(materialised(sized.where(_fits("n_a", "n_b")).select("a", "b")), docs, classes)
+    best = sized.where(_fits("n_a", "n_b")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    links = _linked(materialised(best), docs, reps)
     roots = components(links)
 
     # What is left: pairs of different components under the same prefix shingle, of sizes that may be similar.
@@ -206,7 +232,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Neighbouring bands meet in the higher one, equal bands in their own.
     met = met.where("band = greatest(b_a, b_b)")
     again = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.least(F.first("m_a"), F.first("m_b")).alias("m")).where("c >= m")
-    more = _linked(materialised(again.select("a", "b")), docs, classes)
+    more = _linked(materialised(again.select("a", "b")), docs, reps)
     final = components(links.unionByName(more))
     for t in (shared, member, left):
         drop_table(t)

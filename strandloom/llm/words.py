@@ -74,3 +74,14 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return words
     return combined(words, tuple(range(min(size, len(words)))))
+
+
+def shingle_lists(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """``shingles`` of each text, hashed together: the texts lie in one buffer, with white space between them."""
+    w = word_hashes(b"\n".join(texts))
+    at, out = 0, []
+    full = combined(w, tuple(range(size)))
+    for n in (len(t.split()) for t in texts):
+        out.append(full[at : at + n - size + 1] if n >= size else shingles(w[at : at + n], size))
+        at += n
+    return out
