@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import map_rows, materialised
+from .common import map_chunks, map_rows, materialised
 
 #: Word positions under ones of each mask.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7), (0, 1, 2, 5, 7))
@@ -29,11 +29,12 @@ OVERLAP = 13
 SHORTEST = 8
 MISMATCH = -4
 MAX_SENT = 1 << 21
+_LOW = np.uint64((1 << 24) - 1)
 
 
 def seeds(w: np.ndarray) -> list[np.ndarray]:
     """Per mask, the seed hash at each position."""
-    return [words.mixed(words.combined(w, m) + np.uint64(i)) for i, m in enumerate(MASKS)]
+    return [words.combined(w, m) ^ words.mixed(np.array([i + 1], np.uint64)) for i, m in enumerate(MASKS)]
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -73,30 +74,41 @@ def _regions(docs: DataFrame, known: np.ndarray | None, longest: int) -> DataFra
     bits = None
     if known is not None:
         bits = np.zeros(1 << 24, bool)
-        bits[(known & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
+        bits[(known & _LOW).astype(np.int64)] = True
     sent = spark.sparkContext.broadcast((known, bits))
 
-    def one(doc_id, text):
-        w = words.word_hashes(words.lowered(text))
-        found = []
-        for s in seeds(w):
-            known, bits = sent.value
-            at = np.arange(len(s)) if known is None else np.flatnonzero(bits[(s & np.uint64((1 << 24) - 1)).astype(np.int64)])
-            if known is not None and len(at):
-                at = at[np.isin(s[at], known)]
-            found.append(np.stack([at.astype(np.int64), s[at].view(np.int64)]))
-        hits = np.concatenate(found, axis=1)
-        if not hits.shape[1]:
-            return
-        hits = hits[:, np.argsort(hits[0], kind="stable")]
-        # Hits whose surroundings overlap share a region.
-        cuts = np.flatnonzero(np.diff(hits[0]) > 2 * longest) + 1
-        for part in np.split(hits, cuts, axis=1):
-            a, b = max(0, int(part[0, 0]) - longest), min(len(w), int(part[0, -1]) + longest)
-            yield doc_id, a, w[a:b].view(np.int64).tolist(), [{"at": x, "h": h} for x, h in zip(*part.tolist())]
+    def chunk(ids, texts):
+        data = [words.lowered(t) for t in texts]
+        w = words.word_hashes(b"\n".join(data))
+        ends = np.cumsum([len(d.split()) for d in data])
+        known, bits = sent.value
+        places, hashes = [], []
+        for mask, s in zip(MASKS, seeds(w), strict=True):
+            if known is None:
+                at = np.arange(len(s))
+            else:
+                at = np.flatnonzero(bits[(s & _LOW).astype(np.int64)])
+                near = np.minimum(np.searchsorted(known, s[at]), len(known) - 1)
+                at = at[known[near] == s[at]]
+            inside = at + mask[-1] < ends[np.searchsorted(ends, at, side="right")] if len(at) else np.zeros(0, bool)
+            places.append(at[inside])
+            hashes.append(s[at[inside]])
+        place, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, h = place[order], h[order]
+        # One part for each document, cut again where hits lie so far apart that their surroundings do not meet.
+        who = np.searchsorted(ends, place, side="right")
+        cuts = np.flatnonzero((np.diff(who) > 0) | (np.diff(place) > 2 * longest)) + 1
+        for p, x in zip(np.split(place, cuts), np.split(h, cuts), strict=True):
+            if len(p):
+                i = int(np.searchsorted(ends, p[0], side="right"))
+                begin = int(ends[i - 1]) if i else 0
+                a, b = max(begin, int(p[0]) - longest), min(int(ends[i]), int(p[-1]) + longest)
+                hits = [{"at": q, "h": y} for q, y in zip((p - begin).tolist(), x.tolist(), strict=True)]
+                yield ids[i], a - begin, w[a:b].view(np.int64), hits
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs, ["doc_id", "text"], one, f"doc_id {kind}, start int, w array<bigint>, hits array<struct<at:int,h:bigint>>")
+    return map_chunks(docs, ["doc_id", "text"], chunk, f"doc_id {kind}, start int, w array<bigint>, hits array<struct<at:int,h:bigint>>")
 
 
 def _verify(batches):
