@@ -197,7 +197,8 @@ def _shared_postings(rows: DataFrame) -> DataFrame:
     w = W.partitionBy("t")
     low = rare.select("t", "cls", F.min("cls").over(w).alias("pivot"), F.max("cls").over(w).alias("hi"))
     often = rows.select("cls", F.explode("often").alias("t"))
-    groups = often.groupBy("t").agg(F.min("cls").alias("pivot"), F.max("cls").alias("hi")).where("pivot <> hi")
+    # Written, so that both sides of the join come from an exchange; only then are hot partitions split.
+    groups = materialised(often.groupBy("t").agg(F.min("cls").alias("pivot"), F.max("cls").alias("hi")).where("pivot <> hi"))
     high = often.join(groups, "t").select("t", "cls", "pivot", "hi")
     return low.unionByName(high).where("pivot <> hi").select("t", "cls", "pivot").distinct()
 
