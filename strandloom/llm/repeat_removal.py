@@ -219,7 +219,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     grams = rows.groupBy("gram").agg(
         F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("context").alias("c0"), F.max("context").alias("c1")
     )
-    again = grams.where("p0 <> p1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # Written, so that both sides of the join come from an exchange; only then are hot partitions split.
+    again = materialised(grams.where("p0 <> p1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed")))
     found = materialised(rows.join(again, "gram").select("gram", "context", "cls", "first", "count", "place", "mixed"))
     contexts = found.where("mixed").groupBy("gram", "context").agg(
         F.min("cls").alias("cls"), (F.min("place") != F.max("place")).alias("many")
