@@ -188,19 +188,21 @@ def _fits(n: str, m: str):
 
 
 def _shared_postings(rows: DataFrame) -> DataFrame:
-    """``t, cls, pivot``: prefix shingles that several classes have, with each of these and the smallest of them.
+    """``t, cls, pivot``: prefix shingles that several classes have, with each of these and their pivot.
 
-    Rare shingles are few in any run of any task, so a window over one is small. Common ones may be in a third of all
-    documents: their groups are summed before the shuffle, and the join back is one that adaptive execution splits.
+    The pivot is the class with the fewest rare shingles, then the smallest: of near copies, the one that the others were
+    made from. Rare shingles are few in any run of any task, so a window over one is small. Common ones may be in a third
+    of all documents: their groups are summed before the shuffle, and the join back is one that adaptive execution splits.
     """
-    rare = rows.select("cls", F.explode("rare").alias("t"))
+    own = F.struct(F.size("rare").alias("r"), "cls").alias("own")
+    rare = rows.select(own, F.explode("rare").alias("t"))
     w = W.partitionBy("t")
-    low = rare.select("t", "cls", F.min("cls").over(w).alias("pivot"), F.max("cls").over(w).alias("hi"))
-    often = rows.select("cls", F.explode("often").alias("t"))
+    low = rare.select("t", "own", F.min("own").over(w).alias("lo"), F.max("own").over(w).alias("hi"))
+    often = rows.select(own, F.explode("often").alias("t"))
     # Written, so that both sides of the join come from an exchange; only then are hot partitions split.
-    groups = materialised(often.groupBy("t").agg(F.min("cls").alias("pivot"), F.max("cls").alias("hi")).where("pivot <> hi"))
-    high = often.join(groups, "t").select("t", "cls", "pivot", "hi")
-    return low.unionByName(high).where("pivot <> hi").select("t", "cls", "pivot").distinct()
+    groups = materialised(often.groupBy("t").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo.cls <> hi.cls"))
+    both = low.unionByName(often.join(groups, "t").select("t", "own", "lo", "hi"))
+    return both.where("lo.cls <> hi.cls").select("t", F.col("own.cls").alias("cls"), F.col("lo.cls").alias("pivot")).distinct()
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
