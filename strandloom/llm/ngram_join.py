@@ -44,6 +44,8 @@ COMMON = 32
 MAX_COMMON = 1 << 20
 #: Summed counts of common prefix shingles per extra match, doubling; and the most matches asked for.
 COST, MAX_MATCHES = 64, 8
+#: Bits of a set's parity filter.
+BITS = 2048
 #: Pairs up to which the ids of their classes are sent to all tasks.
 MAX_ASKED = 1 << 19
 
@@ -166,6 +168,37 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_chunks(texts, ["cls", "to", "text"], chunk, "cls bigint, to bigint, s array<bigint>", rows=CHUNK)
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A set's shingles hashed to ``BITS`` bits, each bit the parity of those that meet in it, as 64-bit words.
+
+    Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
+    drops no pair wrongly.
+    """
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that parity bits leave possible; far smaller than sets, so these are shipped first."""
+    both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = _texts_of(docs, reps, both.withColumn("to", F.array("cls")), is_small(pairs, MAX_ASKED))
+
+    def chunk(classes, _, texts):
+        data = [normal(t) for t in texts]
+        for c, d, s in zip(classes, data, shingle_sets(data), strict=True):
+            if class_of(d) == c:
+                yield c, parity_bits(s)
+
+    bits = materialised(map_chunks(texts, ["cls", "to", "text"], chunk, "cls bigint, bits array<bigint>", rows=CHUNK))
+    x, y = (bits.select(F.col("cls").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    most = F.col("n_a") + F.col("n_b") - apart  # twice the intersection at most
+    fits = most * (SHARED_PARTS + UNION_PARTS) >= (F.col("n_a") + F.col("n_b")) * 2 * UNION_PARTS
+    out = materialised(pairs.join(x, "a").join(y, "b").where(fits).select("a", "b").distinct())
+    drop_table(bits)
+    return out
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
@@ -234,8 +267,9 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = one.join(two, ["t", "band"]).where("a < b and r_a <> r_b").where(_fits("n_a", "n_b"))
     # Neighbouring bands meet in the higher one, equal bands in their own.
     met = met.where("band = greatest(b_a, b_b)")
-    again = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.least(F.first("m_a"), F.first("m_b")).alias("m")).where("c >= m")
-    more = _linked(materialised(again.select("a", "b")), docs, reps)
+    sums = F.count(F.lit(1)).alias("c"), F.least(F.first("m_a"), F.first("m_b")).alias("m"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    again = materialised(met.groupBy("a", "b").agg(*sums).where("c >= m").select("a", "b", "n_a", "n_b"))
+    more = _linked(_possible(again, docs, reps), docs, reps)
     final = components(links.unionByName(more))
     for t in (shared, member, left):
         drop_table(t)

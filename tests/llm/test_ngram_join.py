@@ -104,3 +104,15 @@ def test_odd_rows_and_keep_one(spark):
     kept = J.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns and kept.count() == 9
     assert J.join_components(empty(spark)).count() == 0 and J.keep_one(empty(spark)).count() == 0
+
+
+def test_parity_bits_bound_the_intersection():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (5, 300, 3000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.5, 0.9, 1.0):
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 2**63, n - int(n * share), dtype=np.uint64)])
+            apart = sum(int(x).bit_count() for x in (J.parity_bits(a) ^ J.parity_bits(b)).view(np.uint64))
+            assert 2 * n - 2 * len(np.intersect1d(a, b)) >= apart
