@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ COMMON = 32
 MAX_COMMON = 1 << 20
 #: Summed counts of common prefix shingles per extra match, doubling; and the most matches asked for.
 COST, MAX_MATCHES = 64, 8
-#: Bits of a set's parity filter.
+#: Least bits of a set's parity filter.
 BITS = 2048
 #: Pairs up to which the ids of their classes are sent to all tasks.
 MAX_ASKED = 1 << 19
@@ -169,15 +169,23 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """A set's shingles hashed to ``BITS`` bits, each bit the parity of those that meet in it, as 64-bit words.
+    """A set's shingles hashed to bits, each bit the parity of those that meet in it, as 64-bit words.
 
     Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
-    drops no pair wrongly.
+    drops no pair wrongly. There are four bits or more for each shingle, a power of two and ``BITS`` at least.
     """
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    size = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bits: str, other: str) -> Column:
+    """Parity bits at the size of another set's, if that is half of it: both halves meet."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    halves = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(bits) > F.size(other), halves).otherwise(F.col(bits))
+
+
 def _possible(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that parity bits leave possible; far smaller than sets, so these are shipped first."""
     both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -191,7 +199,9 @@ def _possible(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     bits = materialised(map_chunks(texts, ["cls", "to", "text"], chunk, "cls bigint, bits array<bigint>", rows=CHUNK))
     x, y = (bits.select(F.col("cls").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    # Similar sizes differ by one power of two at most.
+    differ = F.zip_with(_folded("bits_a", "bits_b"), _folded("bits_b", "bits_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda t, v: t + v)
     most = F.col("n_a") + F.col("n_b") - apart  # twice the intersection at most
     fits = most * (SHARED_PARTS + UNION_PARTS) >= (F.col("n_a") + F.col("n_b")) * 2 * UNION_PARTS
     out = materialised(pairs.join(x, "a").join(y, "b").where(fits).select("a", "b").distinct())

@@ -116,3 +116,18 @@ def test_parity_bits_bound_the_intersection():
             b = np.concatenate([a[: int(n * share)], rng.integers(0, 2**63, n - int(n * share), dtype=np.uint64)])
             apart = sum(int(x).bit_count() for x in (J.parity_bits(a) ^ J.parity_bits(b)).view(np.uint64))
             assert 2 * n - 2 * len(np.intersect1d(a, b)) >= apart
+    # Folding the bits of a set gives those of half the size.
+    a = rng.integers(0, 2**63, 520, dtype=np.uint64)
+    large, small = J.parity_bits(a), J.parity_bits(a[:512])
+    assert len(large) == 2 * len(small)
+    folded = large[: len(small)] ^ large[len(small) :]
+    assert sum(int(x).bit_count() for x in (folded ^ small).view(np.uint64)) <= 8
+
+
+def test_sizes_across_a_power_of_two(spark):
+    base = [f"v{i}" for i in range(530)]
+    rows = [(i, " ".join(base[:n])) for i, n in enumerate((500, 505, 512, 516, 517, 525, 530, 400))]
+    assert sorted(map(tuple, J.join_components(docs(spark, rows)).collect())) == brute(rows)
+    pairs = spark.createDataFrame([(J.class_of(rows[0][1].encode()), J.class_of(rows[6][1].encode()), 496, 526)], "a long, b long, n_a long, n_b long")
+    reps = spark.createDataFrame([(J.class_of(rows[i][1].encode()), i) for i in (0, 6)], "cls long, doc_id long")
+    assert J._possible(pairs, docs(spark, rows), reps).count() == 1
