@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over consecutive words; words under zeros may differ. Seeds of benchmark items and of documents
-are joined by hash, and around each hit the item is laid over the document along the hit's diagonal: the stretch with the
-best score (+1 a match, -4 a mismatch, so at least 80 % of its words agree) is a leak if it has ``OVERLAP`` words or is as
-long as a shorter item. The masks are chosen so that every stretch of 13 words with up to two substitutions has a hit.
+are joined by hash, and around each hit the item is laid over the document along the hit's diagonal: the longest stretch
+with no negative score (+1 a match, -4 a mismatch, so at least 80 % of its words agree) is a leak if it has ``OVERLAP``
+words or is as long as a shorter item. Substitutions count wherever they are, also at the ends; what is reported goes from
+the first to the last equal word. The masks are chosen so that every stretch of 13 words with up to two substitutions has
+a hit.
 
 Documents are read once. Only positions whose seed is one of the benchmark's leave the scan, with the words around them.
 Seeds of the benchmark go to all tasks if there are ``MAX_SENT`` at most (their number is checked); otherwise every
@@ -37,13 +39,14 @@ def seeds(w: np.ndarray) -> list[np.ndarray]:
     return [words.combined(w, m) ^ words.mixed(np.array([i + 1], np.uint64)) for i, m in enumerate(MASKS)]
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the best-scoring stretch; of equal ones the first."""
+def longest_stretch(same: np.ndarray) -> tuple[int, int]:
+    """(start, end) of the longest stretch whose words agree to 80 % at least; of equal ones that with most matches, then the first."""
     sums = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-    gain = sums[1:] - np.minimum.accumulate(sums)[:-1]
-    end = int(np.argmax(gain)) + 1
-    start = int(np.argmin(sums[:end]))
-    return start, end, int(same[start:end].sum())
+    # The first start from which the sum up to an end is not negative: running minima never rise.
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")
+    sizes = np.arange(len(sums)) - starts
+    end = int(np.lexsort((-np.arange(len(sums)), sums - sums[starts], sizes))[-1])
+    return int(starts[end]), end
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -118,9 +121,12 @@ def _verify(batches):
             # Word i of the item lies on word i + shift of the region.
             shift = diagonal - start
             lo, hi = max(0, -shift), min(len(v), len(w) - shift)
-            s, e, same = best_stretch(v[lo:hi] == w[lo + shift : hi + shift])
+            same = v[lo:hi] == w[lo + shift : hi + shift]
+            s, e = longest_stretch(same)
             if e - s >= min(OVERLAP, len(v)):
-                rows.append((doc_id, item_id, diagonal + lo + s, lo + s, e - s, same))
+                equal = np.flatnonzero(same[s:e]) + s
+                s, e = int(equal[0]), int(equal[-1]) + 1
+                rows.append((doc_id, item_id, diagonal + lo + s, lo + s, e - s, len(equal)))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_same"])
 
 

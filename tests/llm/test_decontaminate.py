@@ -62,3 +62,24 @@ def test_odd_rows(spark):
     assert D.leaks(odd(spark), b).count() == 0
     assert D.leaks(empty(spark), b).count() == 0 and D.leaks(odd(spark), bench(spark, [])).count() == 0
     assert D.drop_leaky(odd(spark), bench(spark, [])).count() == 10
+
+
+def test_all_placements_of_substitutions(spark):
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(D.OVERLAP, 21)}
+    rows = []
+    for n, v in items.items():
+        for k in (1, 2):
+            for bad in itertools.combinations(range(n), k):
+                rows.append((len(rows), " ".join(["before"] * 9 + ["zzz" if i in bad else x for i, x in enumerate(v)] + ["after"] * 9)))
+    rows += [(-n, " ".join(["before"] * 9 + v[:10] + ["after"] * 9)) for n, v in items.items()]  # ten words are no leak
+    got = [r["doc_id"] for r in D.leaks(docs(spark, rows), bench(spark, [(n, " ".join(v)) for n, v in items.items()])).collect()]
+    assert sorted(got) == list(range(len(rows) - len(items)))
+
+
+def test_longest_stretch_against_all():
+    rng = random.Random(3)
+    for _ in range(300):
+        same = [rng.random() < 0.75 for _ in range(rng.randint(1, 40))]
+        fits = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)]
+        s, e = D.longest_stretch(D.np.array(same))
+        assert e - s == max(fits, default=(0, 0))[0] and 5 * sum(same[s:e]) >= 4 * (e - s)
