@@ -3,7 +3,8 @@
 Every letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) the vectors of its letters, rotated
 by their place; a document's vector bundles (adds) its trigrams' vectors over the whole text; a language's prototype
 bundles unit vectors of labelled documents. Documents are compared with prototypes by cosine, after the mean prototype,
-which all languages share, has been taken from both.
+which all languages share, has been taken from both. Some language always has a cosine above zero then, so whether a text
+is in a learned language at all is decided by its product with the prototype before that (``LEAST_LIKENESS``).
 
 Prototypes are fitted on a bounded sample of the labelled rows: about ``PER_LANGUAGE`` of each language, chosen by a hash
 of the id; prediction reads nothing but the text. Sums are in whole numbers, so results do not depend on partitions.
@@ -28,6 +29,10 @@ FOLD = 4096
 PER_LANGUAGE = 2000
 UNIT = 1 << 20
 UNKNOWN = "und"
+#: A text is like a language if its trigrams' mean product with the prototype, which does not depend on the text's length, is this
+#: share of what the labelled documents have on average; by chance n trigrams miss their mean by about SHORT_SLACK / sqrt(n).
+LEAST_LIKENESS = 0.3
+SHORT_SLACK = 0.5
 _PIECE = 1 << 20
 _GRAMS = 4096
 
@@ -67,39 +72,46 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return k, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
-def bundle(text: str | None) -> np.ndarray | None:
-    """A document's unit vector, or None without letters."""
+def summed(text: str | None) -> tuple[np.ndarray, int]:
+    """The sum of a document's trigrams' vectors, and how many trigrams it has."""
     keys, counts = trigrams(text)
-    if not len(keys):
-        return None
     _, (r0, r1, r2) = _tables()
     total = np.zeros(DIM, np.float64)
     for at in range(0, len(keys), _GRAMS):
         k = keys[at : at + _GRAMS]
         bound = r2[k // (FOLD * FOLD)] * r1[k // FOLD % FOLD] * r0[k % FOLD]
         total += counts[at : at + _GRAMS].astype(np.float32) @ bound.astype(np.float32)
+    return total, int(counts.sum())
+
+
+def bundle(text: str | None) -> np.ndarray | None:
+    """A document's unit vector, or None without letters."""
+    total, _ = summed(text)
     size = np.linalg.norm(total)
     return total / size if size else None
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from ``text, lang`` rows."""
+def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, their prototypes, and the mean product of their documents' trigrams with them, from ``text, lang`` rows."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
-                if (v := bundle(text)) is not None:
-                    total[lang] = total.get(lang, 0) + np.rint(v * UNIT).astype(np.int64)
+                v, n = summed(text)
+                if size := np.linalg.norm(v):
+                    row = np.concatenate([v / size, v / n, [1.0]])
+                    total[lang] = total.get(lang, 0) + np.rint(row * UNIT).astype(np.int64)
         rows = [(lang, i, int(x)) for lang, v in total.items() for i, x in enumerate(v)]
         yield pd.DataFrame(rows, columns=["lang", "i", "x"])
 
     per_task = labelled.select("text", "lang").mapInPandas(sums, "lang string, i int, x bigint")
-    rows = per_task.groupBy("lang", "i").agg(F.sum("x").alias("x")).toPandas()  # DIM rows a language
+    rows = per_task.groupBy("lang", "i").agg(F.sum("x").alias("x")).toPandas()  # 2 * DIM + 1 rows a language
     langs = sorted(set(rows["lang"]))
-    p = np.zeros((len(langs), DIM))
-    p[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), rows["i"].to_numpy(int)] = rows["x"].to_numpy(float)
-    return langs, p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+    sums_of = np.zeros((len(langs), 2 * DIM + 1))
+    sums_of[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), rows["i"].to_numpy(int)] = rows["x"].to_numpy(float)
+    p = sums_of[:, :DIM] / np.maximum(np.linalg.norm(sums_of[:, :DIM], axis=1, keepdims=True), 1e-12)
+    return langs, p, (sums_of[:, DIM : 2 * DIM] * p).sum(axis=1) / np.maximum(sums_of[:, -1], 1)
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -121,21 +133,29 @@ def held_out() -> Column:
 class Model:
     """Prototypes ready for prediction."""
 
-    def __init__(self, langs: list[str], prototypes: np.ndarray):
+    def __init__(self, langs: list[str], prototypes: np.ndarray, own: np.ndarray):
         self.langs = langs
+        self.prototypes, self.own = prototypes, np.maximum(own, 1e-12)
         self.mean = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(DIM)
         centred = prototypes - self.mean
         self.rows = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score; the score maps the cosine from -1..1 to 0..1."""
-        v = bundle(text) if self.langs else None
-        if v is None:
-            return UNKNOWN, 0.0
-        v = v - self.mean
+        return self.judged(text)[:2]
+
+    def judged(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is like the labelled documents of that language."""
+        total, n = summed(text) if self.langs else (np.zeros(DIM), 0)
+        size = np.linalg.norm(total)
+        if not size:
+            return UNKNOWN, 0.0, False
+        v = total / size - self.mean
         cosines = np.round(self.rows @ v / max(np.linalg.norm(v), 1e-12), 9)
         best = int(np.argmax(cosines))
-        return self.langs[best], float(round(min(1.0, max(0.0, (1 + cosines[best]) / 2)), 9))
+        like = total @ self.prototypes[best] / n / self.own[best]
+        score = float(round(min(1.0, max(0.0, (1 + cosines[best]) / 2)), 9))
+        return self.langs[best], score, bool(round(like, 9) >= LEAST_LIKENESS - SHORT_SLACK / n**0.5)
 
 
 def train(docs: DataFrame) -> Model:
@@ -154,18 +174,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return map_rows(rows, ["doc_id", "held_out", "text"], one, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-#: Scores under this mean a negative cosine with every language: the text resembles none. Clean short texts score over 0.56.
-LEAST_SCORE = 0.5
-
-
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose language is unknown: no letters, or like no learned language."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 
     def one(*values):
-        lang, score = sent.value.predict(values[at])
-        if lang != UNKNOWN and score >= LEAST_SCORE:
+        if sent.value.judged(values[at])[2]:
             yield values
 
     return map_rows(docs, docs.columns, one, docs._jdf.schema().toDDL())

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -44,3 +45,26 @@ def test_odd_rows(spark):
     assert L.identify(empty(spark)).count() == 0
     kept = L.keep_identified(both)
     assert kept.columns == both.columns and not {2, 3} & {r["doc_id"] for r in kept.collect()}
+
+
+UNLEARNED = [
+    "La mattina il sole illuminava le strade della vecchia citta e la gente usciva dalle case per andare al mercato, dove i contadini vendevano frutta.",
+    "De volgende ochtend liepen wij langs het water naar de oude molen, waar een vriendelijke man ons vertelde hoe hij het graan van de boeren maalde.",
+    "Seuraavana aamuna lahdimme kavelemaan jarven rantaa pitkin ja naimme monta lintua, jotka lensivat metsan ylitse kohti pohjoista.",
+    "На следующее утро мы пошли к реке и долго смотрели, как рыбаки вытаскивают сети из холодной воды.",
+    '<div class="row"><span id="x1"></span><img src="a.png"/><td colspan="2"></td></div>' * 4,
+]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bad = [*UNLEARNED, *(" ".join("".join(rng.choices(letters, k=6)) for _ in range(n)) for n in (6, 50, 500))]
+    bad += ["".join(rng.choices(letters, k=300)), "".join(rng.choices(letters + letters.upper() + "0123456789+/", k=400))]
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = ["the", "the man", "Thank you very much.", "Yesterday morning we walked along the river to the old mill and then back to the house."]
+    more = docs(spark, [(-1 - i, t) for i, t in enumerate(bad)] + [(-1001 - i, t) for i, t in enumerate(good)], extra=False)
+    kept = {r["doc_id"] for r in L.keep_identified(df.unionByName(more)).select("doc_id").collect()}
+    assert [i for i in range(len(bad)) if -1 - i in kept] == [] and all(-1001 - i in kept for i in range(len(good)))
+    lettered = {r["doc_id"] for r in df.collect() if L.bundle(r["text"]) is not None}
+    assert len(lettered - kept) <= 0.005 * len(lettered)
