@@ -5,13 +5,15 @@ word count and link density, those of its neighbours, and what its containers ar
 form, advert; or article). A decision tree, grown on the small labelled table below, keeps or drops each block.
 
 Defined cases: null html is empty and has an empty text; text before the first tag is a block; unclosed tags last until
-their container ends; unclosed comments and scripts last until the end of the page; a ``<`` that starts no tag is text.
+their container ends, also buttons, pictures and media (``MUTED``), whose text is dropped; unclosed comments, scripts, styles,
+frames, titles and text areas last until the end of the page; a ``<`` that starts no tag is text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,7 @@ from .common import map_rows
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|button|audio|video|map)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|(?P<open><(?P<raw>script|style|noscript|iframe|title|textarea)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<attrs2>[^<>]*)>"
     r"|<[!?][^>]*>",
@@ -35,6 +37,16 @@ CONTAINERS = frozenset(
 )
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote hr address figcaption caption summary legend center head menu label option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Inline elements whose text is not the page's. They end with their end tag, or with the element that they stand in.
+MUTED = frozenset("svg math template object canvas select button audio video map".split())
+FOREIGN = frozenset(["svg", "math"])
+#: Elements of svg and math that may hold HTML, and HTML tags that end svg and math anywhere else.
+INTEGRATION = frozenset(["foreignobject", "desc", "annotation-xml"])
+BREAKOUT = frozenset(
+    """b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre
+    ruby s small span strong strike sub sup table tt u ul var""".split()
+)
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>]+$""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav footer aside form fieldset dialog menu label option head legend".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
@@ -86,6 +98,40 @@ def _nature(tag: str, attrs: str) -> tuple[bool, int]:
     return boiler, 0 if boiler else article
 
 
+def _closes_itself(attrs: str) -> bool:
+    return attrs.endswith("/") and not _UNQUOTED.search(attrs)
+
+
+def _still_muted(muted: list[tuple[str, Counter]], tag: str, ends: bool, attrs: str, is_open) -> bool:
+    """Take a tag inside muted elements; False if it ends them all and counts for the page."""
+    inside = muted[-1][1]
+    if tag in MUTED or (tag in INTEGRATION and any(t in FOREIGN for t, _ in muted)):
+        if ends or tag in ("button", "select"):  # these two do not nest
+            for i in range(len(muted) - 1, -1, -1):
+                if muted[i][0] == tag:
+                    del muted[i:]
+                    break
+        if not ends and not (tag in FOREIGN | INTEGRATION and _closes_itself(attrs)):
+            muted.append((tag, Counter()))
+        return True
+    if not ends:
+        if tag in ARTICLE_TAGS:
+            muted.clear()
+        elif muted[-1][0] in FOREIGN and tag in BREAKOUT:
+            muted.pop()
+            return bool(muted) and _still_muted(muted, tag, ends, attrs, is_open)
+        else:
+            inside[tag] += 1
+    elif tag in BLOCKS or tag == "a":
+        while muted and not muted[-1][1][tag]:
+            if len(muted) == 1 and not is_open(tag):
+                return True  # nothing on the page has this end
+            muted.pop()
+        if muted:
+            muted[-1][1][tag] -= 1
+    return bool(muted)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     page = page or ""
@@ -94,6 +140,10 @@ def blocks(page: str | None) -> list[Block]:
     own, heading, item = False, False, False  # of the block that is open
     parts: list[tuple[str, bool]] = []
     link = 0
+    muted: list[tuple[str, Counter]] = []  # open muted elements, and the tags open in each
+
+    def is_open(tag: str) -> bool:
+        return tag not in CONTAINERS or any(t == tag for t, _, _ in stack)
 
     def close() -> None:
         nonlocal parts
@@ -107,16 +157,27 @@ def blocks(page: str | None) -> list[Block]:
             parts = []
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not muted:
             parts.append((page[at : m.start()], link > 0))
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() not in ("script", "style", "template", "noscript"):
+            if m["raw"] and muted and muted[-1][0] in FOREIGN and _closes_itself(m["open"][:-1]):
+                at = m.end("open")
+            if m["raw"] and not muted and m["raw"].lower() not in ("script", "style", "noscript"):
                 parts.append((" ", False))
             continue
         ends = bool(m["end"] or m["end2"])
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if muted and _still_muted(muted, tag, ends, attrs, is_open):
+            continue
+        if tag in MUTED:
+            if not ends:
+                parts += [(" ", False)] if tag != "template" else []
+                if not (tag in FOREIGN and _closes_itself(attrs)):
+                    muted.append((tag, Counter()))
+            continue
         if tag == "a":
             link = max(0, link - 1) if ends else 1
         elif tag == "br":
@@ -127,7 +188,7 @@ def blocks(page: str | None) -> list[Block]:
             own, heading, item = False, False, False
             if tag in CONTAINERS:
                 if not ends:
-                    boiler, article = _nature(tag, m["attrs"] or m["attrs2"] or "")
+                    boiler, article = _nature(tag, attrs)
                     above = stack[-1][1:] if stack else (False, 0)
                     if tag == "header":
                         boiler |= above[1] < 3
@@ -139,9 +200,9 @@ def blocks(page: str | None) -> list[Block]:
                             del stack[i:]
                             break
             elif not ends:
-                own = _nature(tag, m["attrs"] or m["attrs2"] or "")[0]
+                own = _nature(tag, attrs)[0]
                 heading, item = tag in HEADINGS, tag in ("li", "dt", "dd", "td", "th")
-    if at < len(page):
+    if at < len(page) and not muted:
         parts.append((page[at:], link > 0))
     close()
     return out

@@ -44,3 +44,22 @@ def test_rows(spark):
 
 def test_tree_fits_its_table():
     assert all(TREE.predict(r) == y for r, y in H.LABELLED)
+
+
+def test_muted_elements_end_with_their_container():
+    for tag in sorted(H.MUTED):
+        assert text(f"<article><p>One <{tag} class='i'><g>x</g></{tag}> two</p><p>Three</p></article>") == "One two\n\nThree"
+        assert text(f"<article><p>One <{tag}>x</p><p>Two</p><p>Three</p></article>") == "One\n\nTwo\n\nThree"
+        assert text(f"<article><p>One</p><div><{tag}>x<div>y</div></div><p>Two</p></article>").replace("\n\ny", "") == "One\n\nTwo"
+        assert text(f"<article><p>One</p><li><a href=x><{tag}>x</a></li><p>Two</p></article>") == "One\n\nTwo"
+        assert text(f"<body><{tag}>x<article><p>One</p></article></body>") == "One"
+    for tag in ("svg", "math"):
+        for start in (f'<{tag} class="i"/>', f"<{tag}/>", f'<{tag} d="a=b" hidden/>'):
+            assert text(f"<article><p>One</p>{start}<p>Two</p></article><p>no</p>") == "One\n\nTwo"
+        assert text(f"<article><p>One</p><{tag} class=i/><p>Two</p></article>") == "One\n\nTwo"
+    assert text("<article><svg><title/><style/><path d=''/>x</svg><p>One</p></article>") == "One"
+    assert text("<article><svg><foreignObject><p>x</p></foreignObject>y</svg><p>One</p></article>") == "One"
+    assert text("<article><p>a<svg><svg>x</svg>y</svg> b <object><object>x</object>y</object>c</p></article>") == "a b c"
+    assert text("<article><p>a <button>x<button>y</button> b</p></article>") == "a b"
+    assert text("<article><p>a</p><button>x</section>y</button><p>b</p></article>") == "a\n\nb"
+    assert text("<article><p>kept</p><iframe>never closed <p>no</p>") == text("<article><p>kept</p><textarea>x<p>no</p>") == "kept"
