@@ -3,7 +3,8 @@
 Base spans come from three patterns. Further spans come from probabilistic automata: strings of labelled credentials form
 a prefix tree over character classes, states whose symbol and stop frequencies are compatible (Hoeffding bound) are
 merged, and the automaton that is left gives any candidate a likelihood. An automaton of ordinary long tokens gives the
-likelihood of the other hypothesis; a candidate whose best log ratio per character exceeds a threshold is a secret.
+likelihood of the other hypothesis; a candidate whose best log ratio per character exceeds a threshold, and in total another,
+is a secret. Candidates are ASCII runs of any length from the shortest label on and their parts between ``=``, ``/`` and ``.``.
 
 Labels are the base spans in a bounded, documented sample of documents (``SAMPLE_DOCS``, of which ``SAMPLE_STRINGS`` per
 kind are used) and examples generated from published credential formats. The scan itself covers every whole text.
@@ -13,6 +14,7 @@ Defined cases: a null text is empty; equal rows are scanned alike; other columns
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -32,9 +34,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LENGTH = 6
 KINDS = ("assign", "access", "hex")
 
-#: Candidates of the automata: long tokens that are not parts of words.
-CANDIDATE = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?![\w+/=-])")
-ORDINARY = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{9,}(?![\w+/=-])")
+#: Runs in which the automata's candidates lie: the signs of all learned strings, whose shortest has ASSIGN_LENGTH. Any other
+#: character ends a run, also a letter outside ASCII.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % ASSIGN_LENGTH)
+ORDINARY = CANDIDATE
+_PART = re.compile(r"[^=/]+")
+_DOTTED = re.compile(r"[^=/.]+")
+_VALUE = re.compile(r"=(?=[^=/.])")
 
 # Published credential formats as (name, prefix, alphabet, length after the prefix).
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -51,16 +57,25 @@ SAMPLE_STRINGS = 400
 ALPHA = 0.05
 #: Nats per character by which a credential automaton must beat the ordinary one.
 THRESHOLD = 1.0
+#: Nats in total by which it must do so: short strings need more per character, as phone numbers and dates are rare in any automaton.
+EVIDENCE = 20.0
+#: Parts between slashes that are tried together: base64 has slashes of its own.
+PARTS = 4
+#: Scores that a task keeps, and how long their class strings are at most.
+_KNOWN, _KNOWN_LENGTH = 200_000, 64
 _SMOOTH = 0.01
 _SYMBOLS = 16
 
 _CLASS = {c: "x" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "X" for c in "ABCDEF"}
 _CLASS |= {c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: "d" for c in "0123456789"}
 
+_CLASSES = str.maketrans(_CLASS)
+_SEPARATOR = re.compile(r"[=/.]")
+
 
 def classes(s: str) -> str:
     """Symbols of the automata: hex letters, other letters by case, digits, and each sign as it is."""
-    return "".join(_CLASS.get(c, c) for c in s)
+    return s.translate(_CLASSES)
 
 
 class Automaton:
@@ -208,29 +223,85 @@ def labelled_strings(docs: DataFrame) -> dict[str, list[str]]:
 
 def train(strings: dict[str, list[str]]) -> dict[str, dict]:
     """One automaton table per label that has strings."""
-    plain = strings.get("ordinary") or []
+    # Strings with a published prefix are no ordinary ones, though no base pattern finds them.
+    plain = [s for s in strings.get("ordinary") or [] if not any(p and p in s for _, p, _, _ in FORMATS)]
     made = {k: Automaton.inferred([classes(s) for s in v]).table() for k, v in strings.items() if v and k != "ordinary"}
     # Plain words and ruled lines exist in any corpus, sampled or not.
     letters = ["".join(random.Random(i).choices("xllllx", k=12)) for i in range(50)]
     ruled = [c * 24 for c in "=-_/+" for _ in range(10)]
-    return made | {"ordinary": Automaton.inferred([classes(s) for s in plain] + letters + ruled).table()}
+    # So do numbers: cards, telephones, dates, addresses of machines.
+    shapes = ["d" * 16, "d" * 10, "ddd-dddd", "ddd-ddd-dddd", "dddd-dd-dd", "ddd.ddd.ddd.ddd", "dd.dd.ddd.ddd", "dddd-dddd-dddd-dddd", "d.dddddd"]
+    numbers = [x for x in shapes for _ in range(5)]
+    capitals = [x.translate({ord("x"): "X", ord("l"): "U"}) for x in letters]
+    # And names and paths, of which the signs between words are learned.
+    names = [p for a, b in zip(letters, letters[1:]) for p in (f"{a[:5]}/{b[:3]}/{a[5:]}", f"/{a[:4]}/{b[:6]}", f"{a[:7]}.{b[:3]}", f"UXU_XU={b[:6]}")]
+    return made | {"ordinary": Automaton.inferred([classes(s) for s in plain] + letters + capitals + ruled + numbers + names).table()}
 
 
 def score(model: dict[str, dict], s: str) -> float:
     """Best log ratio per character of the credential automata against the ordinary one."""
-    c = classes(s)
+    return _score(model, classes(s))
+
+
+def _score(model: dict[str, dict], c: str) -> float:
     return max((log_likelihood(t, c) for k, t in model.items() if k != "ordinary"), default=-math.inf) / len(c) - log_likelihood(model["ordinary"], c) / len(c)
 
 
-def all_spans(model: dict[str, dict], text: str) -> list[tuple[int, int, int]]:
-    """Base spans, and candidates that the automata accept and no base span touches (kind 3, ``format``)."""
+def candidates(run: str) -> set[tuple[int, int]]:
+    """(start, end) in a run: the whole, what follows its first and its last ``=``, and the parts between ``=``, ``/`` and ``.``, of
+    those between slashes up to PARTS together; names, paths and full stops around a credential are in some of them only. Their
+    sizes together grow in proportion to that of the run."""
+    end = len(run.rstrip("."))
+    begin = len(run) - len(run.lstrip("."))
+    out = {(begin, end)}
+    values = [m.end() for m in _VALUE.finditer(run)]
+    out |= {(at, end) for at in values[:1] + values[-1:]}
+    out |= {(m.start(), m.end()) for m in _DOTTED.finditer(run)}
+    parts = [(m.start(), m.end()) for m in _PART.finditer(run)]
+    out |= {(s, e) for i, (s, _) in enumerate(parts) for _, e in parts[i : i + PARTS] if "=" not in run[s:e]}
+    return {(s, e) for s, e in out if e - s >= ASSIGN_LENGTH}
+
+
+def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, int]], known: dict[str, float]) -> list[tuple[int, int, int]]:
+    """The candidates that the automata accept and no base span touches; of those that overlap, the one whose log ratio exceeds
+    the threshold by most in total. ``known`` keeps that excess by class string."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        run = m.group()
+        symbols = classes(run)
+        word = symbols.strip(".")
+        if not _SEPARATOR.search(word) and known.get(word, math.inf) <= 0:
+            continue
+        good = []
+        for s, e in candidates(run):
+            c = symbols[s:e]
+            excess = known.get(c)
+            if excess is None:
+                if len(known) >= _KNOWN:
+                    known.clear()
+                ratio = _score(model, c)
+                excess = (ratio - THRESHOLD) * len(c) if ratio > THRESHOLD and ratio * len(c) > EVIDENCE else 0.0
+                if len(c) <= _KNOWN_LENGTH:
+                    known[c] = excess
+            if excess > 0:
+                good.append((-excess, s + m.start(), e + m.start()))
+        if good:
+            # Base spans overlap each other, so all are looked at; few runs come this far.
+            near = [(x, y) for x, _, y in base if x < m.end() and m.start() < y]
+            good = [g for g in good if not any(x < g[2] and g[1] < y for x, y in near)]
+        taken: list[tuple[int, int, int]] = []
+        for _, s, e in sorted(good):
+            at = bisect.bisect(taken, (s, 3, e))
+            if (at == 0 or taken[at - 1][2] <= s) and (at == len(taken) or e <= taken[at][0]):
+                taken.insert(at, (s, 3, e))
+        out += taken
+    return out
+
+
+def all_spans(model: dict[str, dict], text: str, known: dict[str, float] | None = None) -> list[tuple[int, int, int]]:
+    """Base spans, and those of the automata (kind 3, ``format``)."""
     base = base_spans(text)
-    more = [
-        (m.start(), 3, m.end())
-        for m in CANDIDATE.finditer(text)
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and score(model, m.group()) > THRESHOLD
-    ]
-    return sorted(base + more)
+    return sorted(base + format_spans(model, text, base, {} if known is None else known))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -239,10 +310,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format`` for every row of ``docs``."""
-    model = train(labelled_strings(docs))
+    model, known = train(labelled_strings(docs)), {}
 
     def one(doc_id, text):
-        spans = all_spans(model, text or "")
+        spans = all_spans(model, text or "", known)
         base = [x for x in spans if x[1] < 3]
         n = [sum(x[1] == k for x in spans) for k in range(4)]
         yield doc_id, *n[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]
@@ -263,14 +334,14 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of texts masked and n_chars counted anew; all other columns stay."""
-    model = train(labelled_strings(docs))
+    model, known = train(labelled_strings(docs)), {}
     names = docs.columns
     at = names.index("text")
 
     def one(*values):
         row = list(values)
         if row[at]:
-            row[at] = mask(row[at], all_spans(model, row[at]))
+            row[at] = mask(row[at], all_spans(model, row[at], known))
             if "n_chars" in names:
                 row[names.index("n_chars")] = len(row[at])
         yield tuple(row)

@@ -64,3 +64,27 @@ def test_scan_and_redact(spark):
 def test_odd_rows(spark):
     assert S.scan(odd(spark)).count() == 10 and S.scan(empty(spark)).count() == 0
     assert S.redact(odd(spark)).columns == odd(spark).columns
+
+
+def test_formats_in_any_surroundings(spark):
+    rng = random.Random(6)
+    around = ("GH_PAT={}", "see https://h.example/p/{}/blob.", "\u4e2d{}\u6587", "key:{}.", "x={}", "\u00e9{}\u00e9")
+    rows, secret = [], {}
+    for name, prefix, alphabet, length in S.FORMATS:
+        for a in around:
+            for _ in range(10):
+                secret[len(rows)] = (name, a, prefix + "".join(rng.choices(alphabet, k=length)))
+                rows.append((len(rows), a.format(secret[len(rows)][2])))
+    clean = ["555-5413 137.187.58.226 2026-11-27T10:00:00.000Z 4910397948386785", "src/main/java/com/Example/FooBarFactory.java", "MAX_MEMORY_MB=abc SHOUTED WORDS"]
+    model = S.train(S.labelled_strings(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    red = {i: S.mask(t, S.all_spans(model, t)) for i, t in rows}
+    for (name, a) in {x[:2] for x in secret.values()}:
+        here = [(red[i], s) for i, (n, b, s) in secret.items() if (n, b) == (name, a)]
+        gone = sum(s[-12:] not in t and s[len(s) // 2 :] not in t for t, s in here)
+        assert gone >= (7 if name == "base64" else 10), (name, a, here)
+    assert not [t for t in clean if S.all_spans(model, t)]
+
+
+def test_long_runs_have_candidates_in_proportion():
+    for run in ("a/" * 5000, "a=" * 5000, "." * 9999, "abcdef." * 2000, "abcdef/" * 2000, "abcdef=" * 2000):
+        assert sum(e - s for s, e in S.candidates(run)) <= 20 * len(run)
