@@ -16,10 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    """A column's type as DDL."""
+    return df.schema[name].dataType.simpleString()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, which all executors see; on a local master one of this machine where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -1,21 +1,28 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents with the same words are one class. Shingles have one global order: rare ones by hash, then common ones by
-count. Two sets of similarity 0.8 share 0.8 of the larger one, so they share one of the first ``n - need + 1`` shingles
-of both, and l of the first ``n - need + l``. A document whose prefix holds costly (common) shingles gets a longer
-prefix, and pairs must share as many prefix shingles as the smaller l of the two before they are verified.
-
-Links are only needed to find components, so candidates are tried in two ways: first each class against the smallest
-class of each prefix shingle, which joins groups of near copies with about one pair per member; then all pairs of
-classes that share prefix shingles and still lie in different components. No link between components can be missed, and
-a group of a thousand near copies never becomes a million pairs.
+Documents with the same shingle set are one class. Shingles have one global order: rare ones by hash, then common ones by
+count. Sets that link share ``alpha = ceil(0.8 / 1.8 * (n_a + n_b))`` shingles, so the l-th shingle that they share is one of
+the first ``n - alpha + l`` of each. A class whose prefix holds costly (common) shingles gets a longer prefix, for a larger
+l, and pairs must share as many prefix shingles as the smaller l of the two before they are verified. A posting carries the
+class's size and the shingle's place, which together bound the sizes of its partners: they are part of the join's key (size
+bands) and, exactly, of its condition.
+
+Links are only needed to find components, so candidates are tried in two ways: first each class against one pivot class
+of its prefix shingles, which joins groups of near copies with about one pair per member; then all pairs of classes that share
+prefix shingles and still lie in different components. No link between components can be missed, and a group of a thousand near
+copies never becomes a million pairs.
 
 Counts of common shingles cover all documents: every task sorts its shingles in runs of ``RUN`` and reports those that
 occur ``LOCAL`` times in a run; the sums rank them. The order affects cost only, never results. The set of common
-shingles is bounded by ``MAX_COMMON`` and sent to all tasks.
+shingles is bounded by ``MAX_COMMON`` and sent to all tasks. A rare shingle makes up at most LOCAL / RUN or 1 / MAX_COMMON
+of all shingles, so the windows over rare shingles have no hot partition.
+
+Texts are compressed before they move, once for each of the two ways, whatever the size of the input; nothing else is
+broadcast. Class names are 128-bit, shingles are compared as 64-bit hashes.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components; rows with equal ids are
-separate rows; a null id is no candidate for the smallest id, and a component of null ids only has a null id.
+separate rows; a null id is no candidate for the smallest id, and a component of null ids only has a null id; ids may have
+any type that has an order; other columns of the input, whatever their names, are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,16 +32,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_table, is_small, map_chunks, materialised
+from .common import drop_table, fresh, map_chunks, materialised, type_of
 from .components import components
 
 SIZE = 5
-#: Links: PART * |intersection| >= WHOLE-part of the union, in whole numbers (100 and 80).
+#: Links: SHARED_PARTS * |intersection| >= UNION_PARTS * |union|, in whole numbers.
 UNION_PARTS, SHARED_PARTS = 80, 100
 
 CHUNK = 128
@@ -44,10 +52,8 @@ COMMON = 32
 MAX_COMMON = 1 << 20
 #: Summed counts of common prefix shingles per extra match, doubling; and the most matches asked for.
 COST, MAX_MATCHES = 64, 8
-#: Least bits of a set's parity filter.
-BITS = 2048
-#: Pairs up to which the ids of their classes are sent to all tasks.
-MAX_ASKED = 1 << 19
+#: Size bands for each factor 1.25, the most by which the sizes of sets that link differ.
+BANDS = 4
 
 
 def normal(text: str | None) -> bytes:
@@ -60,9 +66,9 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(x) for x in words.shingle_lists(texts, SIZE)]
 
 
-def class_of(data: bytes) -> int:
-    """64-bit name of a word sequence."""
-    return int.from_bytes(hashlib.md5(data).digest()[:8], "little", signed=True)
+def class_of(s: np.ndarray) -> bytes:
+    """128-bit name of a shingle set."""
+    return hashlib.md5(s.tobytes()).digest()
 
 
 def need(n: int) -> int:
@@ -108,201 +114,193 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t[order], rows["c"].to_numpy(np.int64)[order]
 
 
-def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Prefix shingles of a set in the global order (rare ones, common ones), and the matches that they stand for."""
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Prefix shingles of a set in the global order, how many of the set's are rare, and the matches that the prefix stands for."""
     n = len(s)
     base = n - need(n) + 1
     if not len(common):
-        return s[:base], s[:0], 1
+        return s[:base], n, 1
     at = np.searchsorted(common, s)
     at[at == len(common)] = 0
     heavy = common[at] == s
     rare, often = s[~heavy], s[heavy]
     if len(rare) >= base:
-        return rare[:base], often[:0], 1
+        return rare[:base], len(rare), 1
     cost = counts[at[heavy]]
     order = np.argsort(cost, kind="stable")  # within equal counts, the set's own order by hash stays
     total = int(cost[order[: base - len(rare)]].sum())
     matches = max(1, min(1 + int(math.log2(1 + total / COST)), MAX_MATCHES, need(n)))
-    return rare, often[order[: base + matches - 1 - len(rare)]], matches
+    return np.concatenate([rare, often[order[: base + matches - 1 - len(rare)]]]), len(rare), matches
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``doc_id, k, text``; the hash k tells texts of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, cls, n, matches, rare, often``; cls is null without words."""
+    """``doc_id, k, cls, n, rare, matches, p``; cls is null without words."""
     common, counts = common_shingles(docs)
     sent = docs.sparkSession.sparkContext.broadcast((common, counts))
 
-    def chunk(ids, texts):
-        data = [normal(t) for t in texts]
-        for doc_id, d, s in zip(ids, data, shingle_sets(data), strict=True):
-            if len(d):
-                rare, often, matches = prefix(s, *sent.value)
-                yield doc_id, class_of(d), len(s), matches, rare.view(np.int64), often.view(np.int64)
+    def chunk(ids, ks, texts):
+        for doc_id, k, s in zip(ids, ks, shingle_sets([normal(t) for t in texts]), strict=True):
+            if len(s):
+                p, rare, matches = prefix(s, *sent.value)
+                yield doc_id, k, class_of(s), len(s), rare, matches, p.view(np.int64)
             else:
-                yield doc_id, None, 0, 0, None, None
-
-    schema = "doc_id bigint, cls bigint, n bigint, matches int, rare array<bigint>, often array<bigint>"
-    return map_chunks(docs, ["doc_id", "text"], chunk, schema, rows=CHUNK)
-
-
-def _texts_of(docs: DataFrame, reps: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
-    """``cls, to, text``: asked (cls, to) with the text of one document of each class.
-
-    Few ids are sent to all tasks, more are joined by a shuffle on ids.
-    """
-    ids = asked.join(reps.select("cls", "doc_id"), "cls").select(F.col("doc_id").alias("w_id"), "cls", "to")
-    ids = F.broadcast(ids) if few else ids
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("cls", "to", "text")
+                yield doc_id, k, None, 0, 0, 0, None
 
+    schema = f"doc_id {type_of(docs, 'doc_id')}, k bigint, cls binary, n bigint, rare int, matches int, p array<bigint>"
+    return map_chunks(_named(docs), ["doc_id", "k", "text"], chunk, schema, rows=CHUNK)
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """``cls, to, s``: the shingle set for each asked row."""
 
-    def chunk(classes, to, texts):
-        data = [normal(t) for t in texts]
-        for c, x, d, s in zip(classes, to, data, shingle_sets(data), strict=True):
-            if class_of(d) == c:  # another text of the same id is not meant
-                for one in x:
-                    yield c, one, s.view(np.int64)
-
-    return map_chunks(texts, ["cls", "to", "text"], chunk, "cls bigint, to bigint, s array<bigint>", rows=CHUNK)
-
-
-def parity_bits(s: np.ndarray) -> np.ndarray:
-    """A set's shingles hashed to bits, each bit the parity of those that meet in it, as 64-bit words.
+def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
 
-    Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
-    drops no pair wrongly. There are four bits or more for each shingle, a power of two and ``BITS`` at least.
+    The compressed text of a travels to b, where b's own text waits; each text leaves the scan once.
     """
-    size = max(BITS, 1 << (4 * len(s) - 1).bit_length())
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _folded(bits: str, other: str) -> Column:
-    """Parity bits at the size of another set's, if that is half of it: both halves meet."""
-    half = F.floor(F.size(bits) / 2).cast("int")
-    halves = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))
-    return F.when(F.size(bits) > F.size(other), halves).otherwise(F.col(bits))
-
-
-def _possible(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that parity bits leave possible; far smaller than sets, so these are shipped first."""
-    both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = _texts_of(docs, reps, both.withColumn("to", F.array("cls")), is_small(pairs, MAX_ASKED))
-
-    def chunk(classes, _, texts):
-        data = [normal(t) for t in texts]
-        for c, d, s in zip(classes, data, shingle_sets(data), strict=True):
-            if class_of(d) == c:
-                yield c, parity_bits(s)
-
-    bits = materialised(map_chunks(texts, ["cls", "to", "text"], chunk, "cls bigint, bits array<bigint>", rows=CHUNK))
-    x, y = (bits.select(F.col("cls").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    # Similar sizes differ by one power of two at most.
-    differ = F.zip_with(_folded("bits_a", "bits_b"), _folded("bits_b", "bits_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    apart = F.aggregate(differ, F.lit(0), lambda t, v: t + v)
-    most = F.col("n_a") + F.col("n_b") - apart  # twice the intersection at most
-    fits = most * (SHARED_PARTS + UNION_PARTS) >= (F.col("n_a") + F.col("n_b")) * 2 * UNION_PARTS
-    out = materialised(pairs.join(x, "a").join(y, "b").where(fits).select("a", "b").distinct())
-    drop_table(bits)
+    ask = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("b").alias("to")).distinct())
+    ask = ask.join(reps.select("cls", "one"), "cls").select("cls", "to", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k"))
+
+    def pack(ids, ks, texts):
+        z = zstandard.ZstdCompressor(level=3)
+        for doc_id, k, t in zip(ids, ks, texts, strict=True):
+            if t:
+                yield doc_id, k, z.compress(normal(t))
+
+    packed = map_chunks(_named(docs), ["doc_id", "k", "text"], pack, f"doc_id {type_of(docs, 'doc_id')}, k bigint, z binary")
+    met = packed.join(ask, (F.col("k") == F.col("w_k")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    moved = materialised(met.select("cls", "to", "z"))
+    left = moved.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("z").alias("z_a"))
+    right = moved.where("cls = to").select(F.col("cls").alias("w"), F.col("z").alias("z_b"))
+
+    def compare(a, b, z_a, z_b):
+        unzip = zstandard.ZstdDecompressor()
+        new = [i for i in range(len(b)) if not i or b[i] != b[i - 1]]  # pairs of one b follow each other
+        sets = shingle_sets([unzip.decompress(z) for z in z_a] + [unzip.decompress(z_b[i]) for i in new])
+        at = -1
+        for i, (x, y, s) in enumerate(zip(a, b, sets)):
+            at += at + 1 < len(new) and new[at + 1] == i
+            t = sets[len(a) + at]
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            if SHARED_PARTS * shared >= UNION_PARTS * (len(s) + len(t) - shared) and class_of(s) == x and class_of(t) == y:
+                yield x, y
+
+    both = left.join(right, F.col("b") == F.col("w"))
+    out = materialised(map_chunks(both, ["a", "b", "z_a", "z_b"], compare, "a binary, b binary", rows=CHUNK))
+    drop_table(moved)
     return out
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
-
-    The set of a leaves the scan addressed to b, where b's own set waits, so each pair ships one set.
-    """
-    ask = pairs.groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("to"))
-    wait = pairs.select(F.col("b").alias("cls")).distinct().withColumn("to", F.array("cls"))
-    few = is_small(pairs, MAX_ASKED)
-    left = _sets(_texts_of(docs, reps, ask, few)).select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("s").alias("s_a"))
-    right = _sets(_texts_of(docs, reps, wait, few)).select(F.col("cls").alias("w"), F.col("s").alias("s_b"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    union = F.size("s_a") + F.size("s_b") - shared
-    found = left.join(right, F.col("b") == F.col("w")).where(SHARED_PARTS * shared >= UNION_PARTS * union)
-    return materialised(found.select("a", "b").distinct())
-
-
-def _fits(n: str, m: str):
+def _fits(n: Column, m: Column) -> Column:
     """Whether two set sizes allow the similarity."""
-    return (F.col(n) * SHARED_PARTS >= F.col(m) * UNION_PARTS) & (F.col(m) * SHARED_PARTS >= F.col(n) * UNION_PARTS)
+    return (n * SHARED_PARTS >= m * UNION_PARTS) & (m * SHARED_PARTS >= n * UNION_PARTS)
 
 
-def _shared_postings(rows: DataFrame) -> DataFrame:
-    """``t, cls, pivot``: prefix shingles that several classes have, with each of these and their pivot.
+def _postings(reps: DataFrame) -> DataFrame:
+    """``t, cls, n, matches, i, pivot``: prefix shingles that several classes have, the class's place for it, and their pivot.
 
     The pivot is the class with the fewest rare shingles, then the smallest: of near copies, the one that the others were
-    made from. Rare shingles are few in any run of any task, so a window over one is small. Common ones may be in a third
-    of all documents: their groups are summed before the shuffle, and the join back is one that adaptive execution splits.
+    made from. Common shingles may be in a third of all documents: their groups are summed before the shuffle, and the
+    join back is one that adaptive execution splits.
     """
-    own = F.struct(F.size("rare").alias("r"), "cls").alias("own")
-    rare = rows.select(own, F.explode("rare").alias("t"))
+    own = F.struct("rare", "n", "cls", "matches").alias("own")
+    each = reps.select(own, F.posexplode("p").alias("i", "t"))
     w = W.partitionBy("t")
-    low = rare.select("t", "own", F.min("own").over(w).alias("lo"), F.max("own").over(w).alias("hi"))
-    often = rows.select(own, F.explode("often").alias("t"))
+    low = each.where("i < own.rare").select("t", "own", "i", F.min("own").over(w).alias("lo"), F.max("own").over(w).alias("hi"))
+    often = each.where("i >= own.rare")
     # Written, so that both sides of the join come from an exchange; only then are hot partitions split.
     groups = materialised(often.groupBy("t").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo.cls <> hi.cls"))
-    both = low.unionByName(often.join(groups, "t").select("t", "own", "lo", "hi"))
-    return both.where("lo.cls <> hi.cls").select("t", F.col("own.cls").alias("cls"), F.col("lo.cls").alias("pivot")).distinct()
+    both = low.unionByName(often.join(groups, "t").select("t", "own", "i", "lo", "hi")).where("lo.cls <> hi.cls")
+    return both.select("t", "own.cls", "own.n", "own.matches", "i", F.col("lo").alias("pivot"))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) * (BANDS / math.log(SHARED_PARTS / UNION_PARTS)) + 1e-6).cast("int")
+
+
+def _candidates(member: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
+
+    Of alpha shingles that two sets share with l matches asked, l lie where ``n - i - 1 + l >= alpha`` holds on both sides; as
+    alpha grows with both sizes, this bounds a partner's size by ``most``. The larger set waits in its band, the smaller one
+    asks all bands from its own to the one of its bound.
+    """
+    open_ = member.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
+    reach = (F.col("n") - F.col("i") - 1 + F.col("matches")) * ((SHARED_PARTS + UNION_PARTS) / UNION_PARTS) - F.col("n")
+    left = materialised(member.join(open_, "t").withColumn("most", F.least(F.floor(reach + 1e-6), F.floor(F.col("n") * (SHARED_PARTS / UNION_PARTS)))))
+    names = ("cls", "n", "matches", "i", "root", "most")
+    x = left.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
+    bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
+    y = left.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") > F.col("cls_b")))
+    size = F.col("n_a") + F.col("n_b")
+    matches = F.least("matches_a", "matches_b")
+    both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
+    enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
+    met = x.join(y, ["t", "band"]).where(larger & (F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a")) & enough)
+    pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l")).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
+    out = materialised(pairs.where("c >= l").select("a", "b"))
+    drop_table(left)
+    return out
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, roots)``: doc_id, cls, n of every row; cls and root of the classes that link to another class."""
+    """``(rows, roots)``: doc_id, k, cls, n of every row; cls and root of the classes that link to another class."""
     rows = materialised(_prefixes(docs))
+    one = F.min(F.struct("doc_id", "k")).alias("one")
     full = rows.where("cls is not null")
-    reps = materialised(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("matches").alias("matches")))
-    small = reps.select("cls", "n", "matches")
-    shared = materialised(_shared_postings(full))
+    reps = materialised(full.groupBy("cls").agg(one, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("matches").alias("matches"), F.first("p").alias("p")))
+    shared = materialised(_postings(reps))
 
     # First each class with the pivot that it shares most prefix shingles with.
-    first = shared.where("cls <> pivot").groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    sized = first.join(small.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(
-        small.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"
-    )
-    best = sized.where(_fits("n_a", "n_b")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    links = _linked(materialised(best), docs, reps)
+    tried = shared.where((F.col("cls") != F.col("pivot.cls")) & _fits(F.col("n"), F.col("pivot.n")))
+    counted = tried.groupBy(F.col("cls").alias("a"), F.col("pivot.cls").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = materialised(counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
+    links = _linked(best, docs, reps)
     roots = components(links)
 
-    # What is left: pairs of different components under the same prefix shingle, of sizes that may be similar.
-    member = shared.join(roots, shared["cls"] == roots["node"], "left").join(small, "cls")
-    member = materialised(member.select("t", "cls", F.coalesce("root", "cls").alias("root"), "n", "matches"))
-    open_ = member.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
-    left = member.join(open_, "t")
-    step = math.log(SHARED_PARTS / UNION_PARTS) * (1 + 1e-6)  # similar sizes differ by one band at most
-    left = materialised(left.withColumn("band", F.floor(F.log("n") / step).cast("int")))
-    one = left.select("t", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("cls").alias("a"), F.col("root").alias("r_a"), F.col("n").alias("n_a"), F.col("matches").alias("m_a"), F.col("band").alias("b_a"))
-    two = left.select("t", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("cls").alias("b"), F.col("root").alias("r_b"), F.col("n").alias("n_b"), F.col("matches").alias("m_b"), F.col("band").alias("b_b"))
-    met = one.join(two, ["t", "band"]).where("a < b and r_a <> r_b").where(_fits("n_a", "n_b"))
-    # Neighbouring bands meet in the higher one, equal bands in their own.
-    met = met.where("band = greatest(b_a, b_b)")
-    sums = F.count(F.lit(1)).alias("c"), F.least(F.first("m_a"), F.first("m_b")).alias("m"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
-    again = materialised(met.groupBy("a", "b").agg(*sums).where("c >= m").select("a", "b", "n_a", "n_b"))
-    more = _linked(_possible(again, docs, reps), docs, reps)
+    # What is left: pairs of different components.
+    member = shared.join(roots, shared["cls"] == roots["node"], "left").select("t", "cls", "n", "matches", "i", F.coalesce("root", "cls").alias("root"))
+    again = _candidates(member)
+    more = _linked(again, docs, reps)
     final = components(links.unionByName(more))
-    for t in (shared, member, left):
+    for t in (shared, best, again, reps, links, more):
         drop_table(t)
     return rows, final
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, k, n, root`` of every row; root is null without words."""
     rows, roots = link_classes(docs)
-    per = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    rooted = per.join(roots, per["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "low")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = rooted.select("cls", "root").join(lowest, "root").select(F.col("cls").alias("i_cls"), "component_id")
     # One class may hold a third of all rows: the skew join of adaptive execution splits its side.
-    out = rows.join(ids, rows["cls"] == ids["i_cls"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = rows.select("doc_id", "k", "cls", "n").join(roots, rows["cls"] == roots["node"], "left")
+    return materialised(joined.select("doc_id", "k", "n", F.coalesce("root", "cls").alias("root")))
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    rows = _placed(docs)
+    low = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(low, rows["root"] == low["r"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+    """``docs`` with one document of each component: that of the smallest id, of equal ids the text with the smallest hash.
 
-    Rows without words are components of their own and stay. Equal rows of one id count once; different texts of one id
-    stay or go together, so no component is lost.
+    A null id is kept only where a component has no other. Rows without words are components of their own and stay. Rows
+    that repeat id and text count once: the one whose columns have the smallest hash stays.
     """
-    kept = join_components(docs).groupBy("component_id").agg(F.min("doc_id").alias("k_id")).select("k_id").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    ids, k, copies = fresh(docs, "doc_id"), fresh(docs, "k"), fresh(docs, "copies")
+    rows = _placed(docs)
+    sized = rows.where("root is not null").groupBy("root", "doc_id", "k").agg(F.count(F.lit(1)).alias("c"))
+    first = sized.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "c")).alias("m"))
+    kept = first.select(F.col("m.doc_id").alias(ids), F.col("m.k").alias(k), F.col("m.c").alias(copies))
+    blank = rows.where("root is null").select(F.col("doc_id").alias(ids), F.col("k").alias(k)).distinct().withColumn(copies, F.lit(1).cast("bigint"))
+    met = docs.join(kept.unionByName(blank), docs["doc_id"].eqNullSafe(F.col(ids)) & (F.xxhash64(docs["text"]) == F.col(k)))
+    single = met.where(F.col(copies) == 1).select(*[docs[c] for c in docs.columns])
+    w = W.partitionBy(ids, k).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    repeated = met.where(F.col(copies) > 1).withColumn(copies, F.row_number().over(w)).where(F.col(copies) == 1)
+    return single.unionByName(repeated.select(*docs.columns))
