@@ -59,13 +59,14 @@ def flat_threads(rows: DataFrame) -> DataFrame:
 
 
 def _depths(nodes: DataFrame) -> list[DataFrame]:
-    """Jump tables: in table i, each node with its ancestor 2**i levels up (null above the root) and its depth so far."""
+    """Jump tables: in table i, each node with its ancestor 2**i levels up (null above the root), its depth so far, and its root
+    once that is known."""
     here = nodes.alias("c").join(
         nodes.alias("p"), F.col("c.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("c.parent") == F.col("p.node")), "left"
     )
     step = here.select(
         F.col("c.conv_id").alias("conv_id"), F.col("c.node").alias("node"), F.col("p.node").alias("up"),
-        F.col("p.node").isNotNull().cast("bigint").alias("depth"),
+        F.col("p.node").isNotNull().cast("bigint").alias("depth"), F.when(F.col("p.node").isNull(), F.col("c.node")).alias("root"),
     )
     tables = [materialised(step)]
     n = nodes.count()
@@ -77,7 +78,7 @@ def _depths(nodes: DataFrame) -> list[DataFrame]:
         up = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")))
         farther = up.select(
             F.col("a.conv_id").alias("conv_id"), F.col("a.node").alias("node"), F.col("b.up").alias("up"),
-            (F.col("a.depth") + F.col("b.depth")).alias("depth"),
+            (F.col("a.depth") + F.col("b.depth")).alias("depth"), F.col("b.root").alias("root"),
         )
         tables.append(materialised(farther.unionByName(t.where("up is null"))))
     return tables
@@ -91,12 +92,12 @@ def branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """
     nodes = materialised(nodes.select("conv_id", "node", "parent", "score"))
     jumps = _depths(nodes)
-    full = jumps[-1].where("up is null").select("conv_id", "node", "depth")
+    full = jumps[-1].where("up is null").select("conv_id", "node", "depth", "root")
     parents = nodes.where("parent is not null").select(F.col("conv_id").alias("p_conv"), F.col("parent").alias("p_node")).distinct()
     leaf = full.join(parents, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("node") == F.col("p_node")), "left_anti")
     scores = nodes.select(F.col("conv_id").alias("s_conv"), F.col("node").alias("s_node"), F.coalesce("score", F.lit(0.0)).alias("score"))
     scored = leaf.join(scores, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("node") == F.col("s_node")))
-    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("depth"), "node"))
+    rank = F.row_number().over(W.partitionBy("conv_id", "root").orderBy(F.desc("score"), F.desc("depth"), "node"))
     path = scored.withColumn("_rank", rank).where(F.col("_rank") <= per_tree).select("conv_id", F.col("node").alias("branch"), "node")
     # From the farthest jump to the nearest, each round adds the nodes that lie that far above those found.
     for t in reversed(jumps[:-1]):

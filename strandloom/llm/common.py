@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: the space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,7 +67,7 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def map_chunks(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
+def map_chunks(df: DataFrame, columns: list[str], fn, schema: str | StructType, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
     """Apply ``fn(columns as lists) -> iterable of tuples`` to chunks of rows inside Arrow batches; one stage, no shuffle.
 
     Chunks have ``rows`` rows at most, and output leaves as soon as ``flush`` bytes of strings have gathered, so a worker
@@ -74,9 +75,8 @@ def map_chunks(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 1
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), target)], schema=target)
@@ -97,7 +97,7 @@ def map_chunks(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 1
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def map_rows(df: DataFrame, columns: list[str], fn, schema: str, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], fn, schema: str | StructType, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
     """``map_chunks`` with ``fn(*values) -> iterable of tuples`` for each row."""
 
     def each(*lists):

@@ -11,8 +11,11 @@ Documents are read once. Only positions whose seed is one of the benchmark's lea
 Seeds of the benchmark go to all tasks if there are ``MAX_SENT`` at most (their number is checked); otherwise every
 document seed takes part in the join.
 
-Words are compared without case of A-Z. Defined cases: null or empty texts leak nothing; items of fewer than ``SHORTEST``
-words are no evidence and are not searched; equal rows give one result; ids may be null.
+Words are compared without case of A-Z. Items of 10 to 12 words may differ by two substitutions, of 8 and 9 by one (80 %); items
+of 5 to 7 words must occur as they are; those of fewer words are phrases of any text and count where they are a whole document.
+Defined cases: null or empty texts leak nothing, and neither does an empty benchmark; equal rows give one result; of equally long
+leaks of one item the one with most equal words, then the first, is reported; ids may be null or of any type; other columns,
+whatever their names, are not read (``drop_leaky`` passes them on).
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import map_chunks, map_rows, materialised
+from .common import fresh, map_chunks, map_rows, materialised
 
 #: Word positions under ones of each mask.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7), (0, 1, 2, 5, 7))
 OVERLAP = 13
-SHORTEST = 8
+#: Words under ones of a mask; items of fewer words than EXACT must occur as they are.
+WEIGHT, EXACT = 5, 8
 MISMATCH = -4
 MAX_SENT = 1 << 21
 _LOW = np.uint64((1 << 24) - 1)
@@ -39,6 +43,11 @@ def seeds(w: np.ndarray) -> list[np.ndarray]:
     return [words.combined(w, m) ^ words.mixed(np.array([i + 1], np.uint64)) for i, m in enumerate(MASKS)]
 
 
+def whole(w: np.ndarray) -> np.ndarray:
+    """The one seed of a text of fewer than WEIGHT words: all of them."""
+    return words.combined(w, tuple(range(len(w)))) ^ words.mixed(np.array([len(MASKS) + len(w)], np.uint64))
+
+
 def longest_stretch(same: np.ndarray) -> tuple[int, int]:
     """(start, end) of the longest stretch whose words agree to 80 % at least; of equal ones that with most matches, then the first."""
     sums = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
@@ -50,11 +59,11 @@ def longest_stretch(same: np.ndarray) -> tuple[int, int]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``ikey, item_id, w``: word hashes of the items that are long enough."""
+    """``ikey, item_id, w``: word hashes of the items that have words."""
 
     def one(item_id, text):
         w = words.word_hashes(words.lowered(text))
-        if len(w) >= SHORTEST:
+        if len(w):
             yield item_id, w.view(np.int64).tolist()
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
@@ -64,7 +73,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def _item_seeds(items: DataFrame) -> DataFrame:
     def one(ikey, w):
-        for s in seeds(np.array(w, np.int64).view(np.uint64)):
+        w = np.array(w, np.int64).view(np.uint64)
+        for s in seeds(w) if len(w) >= WEIGHT else [whole(w)]:
             for at, h in enumerate(s.view(np.int64).tolist()):
                 yield ikey, at, h
 
@@ -83,7 +93,8 @@ def _regions(docs: DataFrame, known: np.ndarray | None, longest: int) -> DataFra
     def chunk(ids, texts):
         data = [words.lowered(t) for t in texts]
         w = words.word_hashes(b"\n".join(data))
-        ends = np.cumsum([len(d.split()) for d in data])
+        sizes = np.array([len(d.split()) for d in data])
+        ends = np.cumsum(sizes)
         known, bits = sent.value
         places, hashes = [], []
         for mask, s in zip(MASKS, seeds(w), strict=True):
@@ -96,6 +107,11 @@ def _regions(docs: DataFrame, known: np.ndarray | None, longest: int) -> DataFra
             inside = at + mask[-1] < ends[np.searchsorted(ends, at, side="right")] if len(at) else np.zeros(0, bool)
             places.append(at[inside])
             hashes.append(s[at[inside]])
+        for i in np.flatnonzero((sizes > 0) & (sizes < WEIGHT)).tolist():
+            s = whole(w[ends[i] - sizes[i] : ends[i]])
+            if known is None or (len(known) and known[min(np.searchsorted(known, s[0]), len(known) - 1)] == s[0]):
+                places.append(ends[i : i + 1] - sizes[i])
+                hashes.append(s)
         place, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
         order = np.argsort(place, kind="stable")
         place, h = place[order], h[order]
@@ -123,7 +139,7 @@ def _verify(batches):
             lo, hi = max(0, -shift), min(len(v), len(w) - shift)
             same = v[lo:hi] == w[lo + shift : hi + shift]
             s, e = longest_stretch(same)
-            if e - s >= min(OVERLAP, len(v)):
+            if e - s >= min(OVERLAP, len(v)) and (len(v) >= EXACT or same[s:e].all()):
                 equal = np.flatnonzero(same[s:e]) + s
                 s, e = int(equal[0]), int(equal[-1]) + 1
                 rows.append((doc_id, item_id, diagonal + lo + s, lo + s, e - s, len(equal)))
@@ -156,5 +172,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a leak."""
-    ids = leaks(docs, benchmark).select(F.col("doc_id").alias("l_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("l_id")), "left_anti")
+    name = fresh(docs, "l_id")
+    ids = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, type_of
 
 DIM = 1024
 FOLD = 4096
@@ -171,7 +171,7 @@ def identify(docs: DataFrame) -> DataFrame:
         yield (doc_id, held, *sent.value.predict(text))
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return map_rows(rows, ["doc_id", "held_out", "text"], one, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_rows(rows, ["doc_id", "held_out", "text"], one, f"doc_id {type_of(docs, 'doc_id')}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -183,4 +183,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         if sent.value.judged(values[at])[2]:
             yield values
 
-    return map_rows(docs, docs.columns, one, docs._jdf.schema().toDDL())
+    return map_rows(docs, docs.columns, one, docs.schema)

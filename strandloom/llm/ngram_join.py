@@ -2,10 +2,11 @@
 
 Documents with the same shingle set are one class. Shingles have one global order: rare ones by hash, then common ones by
 count. Sets that link share ``alpha = ceil(0.8 / 1.8 * (n_a + n_b))`` shingles, so the l-th shingle that they share is one of
-the first ``n - alpha + l`` of each. A class whose prefix holds costly (common) shingles gets a longer prefix, for a larger
-l, and pairs must share as many prefix shingles as the smaller l of the two before they are verified. A posting carries the
-class's size and the shingle's place, which together bound the sizes of its partners: they are part of the join's key (size
-bands) and, exactly, of its condition.
+the first ``n - alpha + l`` of each. Each class takes the l of least estimated cost: with S the summed counts of the shingles
+in the prefix for l, S rows are met in the join and at most S / l partners share l of them and must be verified. Its prefix
+is that long, and a pair must share as many prefix shingles as the smaller l of the two before it is verified. A posting
+carries the class's size and the shingle's place, which together bound the sizes of its partners: they are part of the join's
+key (size bands) and, exactly, of its condition. It also carries the set's parity bits, which bound what two sets share.
 
 Links are only needed to find components, so candidates are tried in two ways: first each class against one pivot class
 of its prefix shingles, which joins groups of near copies with about one pair per member; then all pairs of classes that share
@@ -50,8 +51,10 @@ RUN = 1 << 22
 LOCAL = 4
 COMMON = 32
 MAX_COMMON = 1 << 20
-#: Summed counts of common prefix shingles per extra match, doubling; and the most matches asked for.
-COST, MAX_MATCHES = 64, 8
+#: The most matches asked for, and what it costs to verify a pair, in rows of the join that finds it.
+MAX_MATCHES, VERIFY = 12, 4
+#: Least bits of a set's parity filter, a power of two of 64 or more.
+BITS = 256
 #: Size bands for each factor 1.25, the most by which the sizes of sets that link differ.
 BANDS = 4
 
@@ -117,20 +120,43 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Prefix shingles of a set in the global order, how many of the set's are rare, and the matches that the prefix stands for."""
     n = len(s)
-    base = n - need(n) + 1
-    if not len(common):
-        return s[:base], n, 1
+    base, most = n - need(n) + 1, min(MAX_MATCHES, need(n))
     at = np.searchsorted(common, s)
     at[at == len(common)] = 0
-    heavy = common[at] == s
-    rare, often = s[~heavy], s[heavy]
-    if len(rare) >= base:
-        return rare[:base], len(rare), 1
-    cost = counts[at[heavy]]
-    order = np.argsort(cost, kind="stable")  # within equal counts, the set's own order by hash stays
-    total = int(cost[order[: base - len(rare)]].sum())
-    matches = max(1, min(1 + int(math.log2(1 + total / COST)), MAX_MATCHES, need(n)))
-    return np.concatenate([rare, often[order[: base + matches - 1 - len(rare)]]]), len(rare), matches
+    heavy = common[at] == s if len(common) else np.zeros(n, bool)
+    often = at[heavy]
+    often = often[np.argsort(counts[often], kind="stable")]  # within equal counts, the set's own order by hash stays
+    rare = s[~heavy]
+    order = np.concatenate([rare, common[often]])[: base + most - 1]
+    # Partners of the same size are met at the first n - alpha + l places.
+    near = n - (2 * UNION_PARTS * n) // (SHARED_PARTS + UNION_PARTS)
+    met = np.cumsum(np.concatenate([np.ones(len(rare)), counts[often]]))[near - 1 : near - 1 + most]
+    best = int(np.argmin(met * (1 + VERIFY / np.arange(1, len(met) + 1)))) if len(met) else 0
+    return order[: base + best], len(rare), best + 1
+
+
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A set's shingles hashed to bits, each bit the parity of those that meet in it, as 64-bit words.
+
+    Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
+    drops no pair wrongly. There is a bit or more for each shingle, a power of two in all and ``BITS`` at least.
+    """
+    size = max(BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def apart(a: str, b: str) -> Column:
+    """In how many places the parity bits in two columns differ. Sizes that may link differ by one power of two at most; the
+    halves of the longer bits then meet."""
+
+    def folded(bits: str, other: str) -> Column:
+        half = F.floor(F.size(bits) / 2).cast("int")
+        halves = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(bits) > F.size(other), halves).otherwise(F.col(bits))
+
+    differ = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -139,7 +165,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, k, cls, n, rare, matches, p``; cls is null without words."""
+    """``doc_id, k, cls, n, rare, matches, p, bits``; cls is null without words."""
     common, counts = common_shingles(docs)
     sent = docs.sparkSession.sparkContext.broadcast((common, counts))
 
@@ -147,11 +173,11 @@ def _prefixes(docs: DataFrame) -> DataFrame:
         for doc_id, k, s in zip(ids, ks, shingle_sets([normal(t) for t in texts]), strict=True):
             if len(s):
                 p, rare, matches = prefix(s, *sent.value)
-                yield doc_id, k, class_of(s), len(s), rare, matches, p.view(np.int64)
+                yield doc_id, k, class_of(s), len(s), rare, matches, p.view(np.int64), parity_bits(s)
             else:
-                yield doc_id, k, None, 0, 0, 0, None
+                yield doc_id, k, None, 0, 0, 0, None, None
 
-    schema = f"doc_id {type_of(docs, 'doc_id')}, k bigint, cls binary, n bigint, rare int, matches int, p array<bigint>"
+    schema = f"doc_id {type_of(docs, 'doc_id')}, k bigint, cls binary, n bigint, rare int, matches int, p array<bigint>, bits array<bigint>"
     return map_chunks(_named(docs), ["doc_id", "k", "text"], chunk, schema, rows=CHUNK)
 
 
@@ -199,21 +225,35 @@ def _fits(n: Column, m: Column) -> Column:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """``t, cls, n, matches, i, pivot``: prefix shingles that several classes have, the class's place for it, and their pivot.
+    """``t, cls, n, matches, i``: prefix shingles that several classes have, and the class's place for it.
 
-    The pivot is the class with the fewest rare shingles, then the smallest: of near copies, the one that the others were
-    made from. Common shingles may be in a third of all documents: their groups are summed before the shuffle, and the
-    join back is one that adaptive execution splits.
+    Common shingles may be in a third of all documents: their groups are summed before the shuffle, and the join back is one
+    that adaptive execution splits.
     """
-    own = F.struct("rare", "n", "cls", "matches").alias("own")
-    each = reps.select(own, F.posexplode("p").alias("i", "t"))
-    w = W.partitionBy("t")
-    low = each.where("i < own.rare").select("t", "own", "i", F.min("own").over(w).alias("lo"), F.max("own").over(w).alias("hi"))
-    often = each.where("i >= own.rare")
+    each = reps.select("cls", "n", "matches", "rare", F.posexplode("p").alias("i", "t"))
+    names = ("t", "cls", "n", "matches", "i")
+    low = each.where("i < rare").select(*names, F.count(F.lit(1)).over(W.partitionBy("t")).alias("g")).where("g > 1").select(*names)
+    often = each.where("i >= rare").select(*names)
     # Written, so that both sides of the join come from an exchange; only then are hot partitions split.
-    groups = materialised(often.groupBy("t").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo.cls <> hi.cls"))
-    both = low.unionByName(often.join(groups, "t").select("t", "own", "i", "lo", "hi")).where("lo.cls <> hi.cls")
-    return both.select("t", "own.cls", "own.n", "own.matches", "i", F.col("lo").alias("pivot"))
+    groups = materialised(often.groupBy("t").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("t"))
+    return low.unionByName(often.join(groups, "t").select(*names))
+
+
+def _pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b``: each class with the pivot that it shares most prefix shingles with.
+
+    The pivot of a shingle is the class with the fewest prefix shingles of its own, then the smallest: of near copies, the one
+    that the others were made from.
+    """
+    alone = reps.join(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("c")), "cls").select("cls", (F.size("p") - F.col("c")).alias("alone"))
+    own = materialised(shared.join(alone, "cls").select("t", F.struct("alone", "n", "cls").alias("own")))
+    lead = materialised(own.groupBy("t").agg(F.min("own").alias("pivot")))
+    tried = own.join(lead, "t").where((F.col("own.cls") != F.col("pivot.cls")) & _fits(F.col("own.n"), F.col("pivot.n")))
+    counted = tried.groupBy(F.col("own.cls").alias("a"), F.col("pivot.cls").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    out = materialised(counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
+    drop_table(own)
+    drop_table(lead)
+    return out
 
 
 def _band(n: Column) -> Column:
@@ -221,7 +261,7 @@ def _band(n: Column) -> Column:
 
 
 def _candidates(member: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
+    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root, bits``.
 
     Of alpha shingles that two sets share with l matches asked, l lie where ``n - i - 1 + l >= alpha`` holds on both sides; as
     alpha grows with both sizes, this bounds a partner's size by ``most``. The larger set waits in its band, the smaller one
@@ -230,7 +270,7 @@ def _candidates(member: DataFrame) -> DataFrame:
     open_ = member.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
     reach = (F.col("n") - F.col("i") - 1 + F.col("matches")) * ((SHARED_PARTS + UNION_PARTS) / UNION_PARTS) - F.col("n")
     left = materialised(member.join(open_, "t").withColumn("most", F.least(F.floor(reach + 1e-6), F.floor(F.col("n") * (SHARED_PARTS / UNION_PARTS)))))
-    names = ("cls", "n", "matches", "i", "root", "most")
+    names = ("cls", "n", "matches", "i", "root", "most", "bits")
     x = left.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
     bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
     y = left.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
@@ -239,7 +279,9 @@ def _candidates(member: DataFrame) -> DataFrame:
     matches = F.least("matches_a", "matches_b")
     both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
     enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
-    met = x.join(y, ["t", "band"]).where(larger & (F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a")) & enough)
+    near = (size - apart("bits_a", "bits_b")) * (SHARED_PARTS + UNION_PARTS) >= size * 2 * UNION_PARTS
+    sizes = larger & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
+    met = x.join(y, ["t", "band"]).where(sizes & (F.col("root_a") != F.col("root_b")) & enough & near)
     pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l")).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
     out = materialised(pairs.where("c >= l").select("a", "b"))
     drop_table(left)
@@ -251,18 +293,16 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialised(_prefixes(docs))
     one = F.min(F.struct("doc_id", "k")).alias("one")
     full = rows.where("cls is not null")
-    reps = materialised(full.groupBy("cls").agg(one, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("matches").alias("matches"), F.first("p").alias("p")))
+    reps = materialised(full.groupBy("cls").agg(one, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("matches").alias("matches"), F.first("p").alias("p"), F.first("bits").alias("bits")))
     shared = materialised(_postings(reps))
 
-    # First each class with the pivot that it shares most prefix shingles with.
-    tried = shared.where((F.col("cls") != F.col("pivot.cls")) & _fits(F.col("n"), F.col("pivot.n")))
-    counted = tried.groupBy(F.col("cls").alias("a"), F.col("pivot.cls").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    best = materialised(counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
+    best = _pivots(shared, reps)
     links = _linked(best, docs, reps)
     roots = components(links)
 
     # What is left: pairs of different components.
-    member = shared.join(roots, shared["cls"] == roots["node"], "left").select("t", "cls", "n", "matches", "i", F.coalesce("root", "cls").alias("root"))
+    known = reps.select("cls", "bits").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "bits", F.coalesce("root", "cls").alias("root"))
+    member = shared.join(known, "cls")
     again = _candidates(member)
     more = _linked(again, docs, reps)
     final = components(links.unionByName(more))

@@ -9,7 +9,9 @@ is a secret. Candidates are ASCII runs of any length from the shortest label on
 Labels are the base spans in a bounded, documented sample of documents (``SAMPLE_DOCS``, of which ``SAMPLE_STRINGS`` per
 kind are used) and examples generated from published credential formats. The scan itself covers every whole text.
 
-Defined cases: a null text is empty; equal rows are scanned alike; other columns of the input are not read.
+Defined cases: a null text is empty; equal rows are scanned alike; other columns of the input, whatever their names, are not
+read (``redact`` passes them on); an empty table trains on the published formats and gives no rows; work on a text grows with
+its length; of equal scores the first candidate in the text wins; ids may be null or of any type.
 """
 
 from __future__ import annotations
@@ -22,10 +24,9 @@ import re
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialised, type_of
 
 # The base patterns. Letters of the first are matched in either case, ASCII only.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -193,6 +194,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that sorted spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in spans:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def touches(covered: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether one of the disjoint stretches overlaps start..end."""
+    i = bisect.bisect_left(covered[0], end) - 1
+    return i >= 0 and covered[1][i] > start
+
+
 def labelled_strings(docs: DataFrame) -> dict[str, list[str]]:
     """Training strings by label, from a sample of documents and from the formats; ``ordinary`` has the others."""
     n = docs.count()
@@ -205,16 +225,18 @@ def labelled_strings(docs: DataFrame) -> dict[str, list[str]]:
         for s, k, e in spans:
             m = ASSIGN.match(text, s) if k == 0 else None
             yield KINDS[k], m.group(1) if m else text[s:e]
-        plain = [m for m in ORDINARY.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+        covered = merged(spans)
+        plain = [m for m in ORDINARY.finditer(text) if not touches(covered, m.start(), m.end())]
         for m in plain[:: max(1, len(plain) // 4)]:
             yield "ordinary", m.group()
 
     found = map_rows(chosen, ["doc_id", "text"], strings, "kind string, s string").distinct()
-    # One pass; four kinds, whose rows come from SAMPLE_DOCS documents at most.
-    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("kind", "s"), "s"))
-    out: dict[str, list[str]] = {k: [] for k in (*KINDS, "ordinary")}
-    for r in found.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_STRINGS).orderBy("kind", "rank").collect():
-        out[r["kind"]].append(r["s"])
+    found = materialised(found)
+    # Every task keeps the first SAMPLE_STRINGS of a kind, and the driver takes the first of those.
+    out: dict[str, list[str]] = {
+        k: [r["s"] for r in found.where(F.col("kind") == k).orderBy(F.xxhash64("kind", "s"), "s").limit(SAMPLE_STRINGS).collect()]
+        for k in (*KINDS, "ordinary")
+    }
     rng = random.Random(17)
     for name, prefix, alphabet, length in FORMATS:
         out[name] = [prefix + "".join(rng.choices(alphabet, k=length)) for _ in range(SAMPLE_STRINGS // 4)]
@@ -266,6 +288,7 @@ def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, i
     """The candidates that the automata accept and no base span touches; of those that overlap, the one whose log ratio exceeds
     the threshold by most in total. ``known`` keeps that excess by class string."""
     out = []
+    covered = merged(base)
     for m in CANDIDATE.finditer(text):
         run = m.group()
         symbols = classes(run)
@@ -286,9 +309,7 @@ def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, i
             if excess > 0:
                 good.append((-excess, s + m.start(), e + m.start()))
         if good:
-            # Base spans overlap each other, so all are looked at; few runs come this far.
-            near = [(x, y) for x, _, y in base if x < m.end() and m.start() < y]
-            good = [g for g in good if not any(x < g[2] and g[1] < y for x, y in near)]
+            good = [g for g in good if not touches(covered, g[1], g[2])]
         taken: list[tuple[int, int, int]] = []
         for _, s, e in sorted(good):
             at = bisect.bisect(taken, (s, 3, e))
@@ -308,17 +329,27 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{(*KINDS, 'format')[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def likely(model: dict[str, dict], text: str, base: list[tuple[int, int, int]]) -> int:
+    """How many base spans hold strings that the automata accept too."""
+    strings = [ASSIGN.match(text, s).group(1) if k == 0 else text[s:e] for s, k, e in base]
+    scores = [(score(model, x), len(x)) for x in strings]
+    return sum(r > THRESHOLD and r * n > EVIDENCE for r, n in scores)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format`` for every row of ``docs``."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, n_likely`` for every row of ``docs``.
+
+    ``n_likely`` counts the base spans whose strings the automata accept as well.
+    """
     model, known = train(labelled_strings(docs)), {}
 
     def one(doc_id, text):
         spans = all_spans(model, text or "", known)
         base = [x for x in spans if x[1] < 3]
         n = [sum(x[1] == k for x in spans) for k in range(4)]
-        yield doc_id, *n[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]
+        yield doc_id, *n[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3], likely(model, text or "", base)
 
-    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_format bigint"
+    schema = f"doc_id {type_of(docs, 'doc_id')}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_format bigint, n_likely bigint"
     return map_rows(docs, ["doc_id", "text"], one, schema)
 
 
@@ -346,4 +377,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 row[names.index("n_chars")] = len(row[at])
         yield tuple(row)
 
-    return map_rows(docs, names, one, docs._jdf.schema().toDDL())
+    return map_rows(docs, names, one, docs.schema)

@@ -62,7 +62,6 @@ def test_same_as_all_pairs(spark, seed, common, monkeypatch):
     if common:  # so that passages count as common and prefixes get longer
         monkeypatch.setattr(J, "LOCAL", 2)
         monkeypatch.setattr(J, "COMMON", 4)
-        monkeypatch.setattr(J, "COST", 4)
     rows = corpus(seed)
     got = J.join_components(docs(spark, rows))
     assert sorted(map(tuple, got.collect())) == brute(rows)
@@ -113,6 +112,23 @@ def test_odd_rows_and_keep_one(spark):
     assert J.join_components(empty(spark)).count() == 0 and J.keep_one(empty(spark)).count() == 0
 
 
+def test_parity_bits_bound_the_intersection(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for n in (5, 300, 512, 3000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.5, 0.9, 1.0):
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 2**63, int(n * 1.1) - int(n * share), dtype=np.uint64)])
+            rows.append((len(rows), J.parity_bits(a).tolist(), J.parity_bits(b).tolist()))
+            want.append(len(a) + len(b) - 2 * len(np.intersect1d(a, b)))
+    frame = spark.createDataFrame(rows, "i int, x array<bigint>, y array<bigint>")
+    got = frame.select("i", J.apart("x", "y").alias("h"), J.apart("y", "x").alias("g")).orderBy("i").collect()
+    assert all(r["h"] == r["g"] <= w for r, w in zip(got, want))
+    assert sum(r["h"] for r in got) > 0.3 * sum(want)
+
+
 def test_sizes_over_bands(spark):
     base = [f"v{i}" for i in range(530)]
     rows = [(i, " ".join(base[:n])) for i, n in enumerate((500, 505, 512, 516, 517, 525, 530, 400, 424, 425, 426, 320, 321))]
