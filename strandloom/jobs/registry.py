@@ -7,7 +7,6 @@ The tables hold no DNA, so reads are derived: ``orders`` keys hashed to 32 lette
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import count as C
 from ..operators import extract as X
-from ..sources.fastq import read_fastq
-from ..sources.kmer_file import print_lines, read_kmer_file, write_kmer_file
+from ..sources.fastq import read_fastq, read_lengths
+from ..sources.kmer_file import numbered_kmer_file, print_lines, read_kmer_file, write_kmer_file
+from ..sources.folders import shared_folder
 from ..streaming.count_stream import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ def _count(reads: Query, k: int, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-")
+    base = shared_folder(spark)
     return f"{base.removeprefix('file://').removeprefix('file:')}/{uuid.uuid4().hex}"
 
 
@@ -162,8 +162,10 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nonzero_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each read's windows as a 0/1 count of validity, then only what is left above zero."""
-    windows = short_reads(spark, sf_dir).select(F.substring("seq", 1, 5).alias("kmer"))
+    """All windows of each read, valid or not, with a 0/1 count of validity, then only what is left above zero."""
+    k = 5
+    spots = F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("pos")
+    windows = short_reads(spark, sf_dir).where(F.length("seq") >= k).select("seq", spots).select(F.substring(F.col("seq"), F.col("pos"), F.lit(k)).alias("kmer"))
     flagged = windows.groupBy("kmer").agg(F.sum(F.when(X.is_kmer(F.col("kmer")), 1).otherwise(0)).cast("bigint").alias("cnt"))
     return C.nonzero(flagged)
 
@@ -174,12 +176,39 @@ def kmer_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_kmer_file(spark, at, 40)
 
 
-def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The short reads written as FASTQ text and counted from there."""
+def _fastq(spark: SparkSession, sf_dir: str) -> str:
+    """The short reads as a FASTQ folder."""
     at = _scratch(spark)
     record = F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
     short_reads(spark, sf_dir).select(record.alias("value")).write.text(at)
-    return C.count_kmers(read_fastq(spark, at), "seq", 5)
+    return at
+
+
+def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short reads written as FASTQ text and counted from there."""
+    return C.count_kmers(read_fastq(spark, _fastq(spark, sf_dir)), "seq", 5)
+
+
+def lengths_of_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest length and number of the reads in a FASTQ folder, over all its files."""
+    per_file = read_lengths(read_fastq(spark, _fastq(spark, sf_dir)))
+    return per_file.agg(F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"), F.sum("n_reads").alias("n_reads"))
+
+
+def merge_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two packed folders, each counted from half of the reads, merged."""
+    reads, folders = short_reads(spark, sf_dir), []
+    for i in (0, 1):
+        folders.append(_scratch(spark))
+        write_kmer_file(C.count_kmers(reads.where(F.pmod("read_id", F.lit(2)) == i), "seq", 5), folders[-1], 5)
+    return C.merge_counts(*[read_kmer_file(spark, at, 5) for at in folders])
+
+
+def sorted_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted counts written as packed parts, read back with their place in the parts' order."""
+    at = _scratch(spark)
+    write_kmer_file(C.sort_kmers(_count(short_reads, 5, spark, sf_dir)), at, 5)
+    return numbered_kmer_file(spark, at, 5)
 
 
 def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,9 +231,10 @@ QUERIES: dict[str, Query] = {
     for f in (
         reads_projection, base_validity, valid_runs, kmer_positions, encode_words, decode_words, print_padded, print_trimmed,
         record_bounds, reduce_adjacent, distinct_kmers, sorted_kmers, merge_counts, nonzero_filter, kmer_file_roundtrip,
-        fastq_roundtrip, stream_count,
+        fastq_roundtrip, merge_packed, sorted_packed, stream_count,
     )
 }
+QUERIES["read_lengths"] = lengths_of_reads
 QUERIES |= {name: partial(_count, reads, k) for name, (reads, _, k) in _KS.items()}
 
 ORACLE_SQL: dict[str, str] = {name: _count_sql(sql, k) for name, (_, sql, k) in _KS.items()}
@@ -228,8 +258,11 @@ ORACLE_SQL |= {
     "distinct_kmers": f"SELECT count(*) AS n_distinct, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS n_total FROM ({_count_sql(SHORT_SQL, 5)})",
     "sorted_kmers": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank FROM ({_count_sql(SHORT_SQL, 5)})",
     "merge_counts": _count_sql(SHORT_SQL, 3),
-    "nonzero_filter": f"SELECT substr(seq, 1, 5) AS kmer, count(*) AS cnt FROM ({SHORT_SQL}) "
-    "WHERE regexp_full_match(substr(seq, 1, 5), '[ACGT]+') GROUP BY 1",
+    "nonzero_filter": f"WITH r AS ({SHORT_SQL}), w AS (SELECT seq, unnest(range(1, length(seq) - 3)) AS pos FROM r) "
+    "SELECT substr(seq, pos, 5) AS kmer, count(*) AS cnt FROM w WHERE regexp_full_match(substr(seq, pos, 5), '[ACGT]+') GROUP BY 1",
+    "read_lengths": f"SELECT min(length(seq)) AS min_length, max(length(seq)) AS max_length, count(*) AS n_reads FROM ({SHORT_SQL})",
+    "merge_packed": _count_sql(SHORT_SQL, 5),
+    "sorted_packed": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank FROM ({_count_sql(SHORT_SQL, 5)})",
     "kmer_file_roundtrip": _count_sql(LONG_SQL, 40),
     "fastq_roundtrip": _count_sql(SHORT_SQL, 5),
     "stream_count": _count_sql(SHORT_SQL, 5),

@@ -40,11 +40,11 @@ def sort_kmers(counts: DataFrame) -> DataFrame:
     return counts.orderBy("kmer")
 
 
-def rank_kmers(counts: DataFrame, prefix: int = 3) -> DataFrame:
+def rank_kmers(counts: DataFrame, prefix: int = 8) -> DataFrame:
     """``kmer, cnt, rank bigint``: 1-based position in the sorted table.
 
     Ranks inside a prefix come from a window over that prefix, those before it from the prefix totals, at most
-    ``4 ** prefix`` rows, so no task sees the whole table.
+    ``4 ** prefix`` rows, so no task sees the whole table: 65,536 groups, each as large as the distinct k-mers of one prefix.
     """
     keyed = counts.withColumn("_p", F.substring("kmer", 1, prefix))
     sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

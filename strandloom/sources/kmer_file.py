@@ -10,7 +10,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -42,19 +44,22 @@ class _RecordWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> _Wrote:
         os.makedirs(self.path, exist_ok=True)
-        part = f"part-{uuid.uuid4().hex}.kmers"
+        # Named by partition, so that parts of a sorted table follow each other in the order of their names.
+        part = f"part-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.kmers"
         with open(os.path.join(self.path, f".{part}"), "wb") as out:
             for row in rows:
                 out.write(row[0])
         return _Wrote(part)
 
     def commit(self, messages: list) -> None:
-        if self.overwrite:
-            for old in os.listdir(self.path) if os.path.isdir(self.path) else ():
-                if old.startswith("part-") and old.endswith(".kmers"):
-                    os.remove(os.path.join(self.path, old))
-        for m in messages:
-            os.rename(os.path.join(self.path, f".{m.part}"), os.path.join(self.path, m.part))
+        there = os.listdir(self.path) if os.path.isdir(self.path) else []
+        new = {m.part for m in messages}
+        # What is new is in place before anything old goes.
+        for part in new:
+            os.rename(os.path.join(self.path, f".{part}"), os.path.join(self.path, part))
+        for old in there if self.overwrite else ():
+            if old.lstrip(".").startswith("part-") and old.endswith(".kmers") and old.lstrip(".") not in new:
+                os.remove(os.path.join(self.path, old))
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -84,19 +89,28 @@ def write_kmer_file(counts: DataFrame, path: str, k: int) -> None:
 
 
 def read_kmer_file(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """``kmer string, cnt bigint`` from a file or folder of packed records; parts are read whole (2 GB at most each)."""
+    """``kmer string, cnt bigint`` from a file or folder of packed records, in the order of parts and records.
+
+    Spark's fixed-length input cuts files of any size into splits of whole records, on any file system that Spark reads.
+    """
     width = codec.record_width(k)
-    files = spark.read.format("binaryFile").load(path).select("content")
-    n = (F.octet_length("content") / F.lit(width)).cast("int")
-    whole = files.where(F.octet_length("content") >= width)
-    at = whole.select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    record = at.select(F.substring(F.col("content"), F.col("i") * width + 1, F.lit(width)).alias("r"))
+    split = spark.sparkContext.binaryRecords(path, width)
+    record = spark.createDataFrame(split.map(lambda r: (bytearray(r),)), "r binary")
     words = [codec.little_endian(F.substring("r", 8 * i + 1, 8)) for i in range(codec.n_words(k))]
     count_hex = F.hex(F.substring("r", width - 3, 4))
     count = F.conv(F.concat(*[F.substring(count_hex, p, 2) for p in (7, 5, 3, 1)]), 16, 10).cast("bigint")
     return record.select(codec.decode_words(F.concat(*words), k).alias("kmer"), count.alias("cnt"))
 
 
+def numbered_kmer_file(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """``kmer, cnt, rank bigint``: 1-based place of each record in the parts' order; counts per split are summed first."""
+    rows = read_kmer_file(spark, path, k).withColumn("_split", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = sizes.select("_split", "_first", (F.sum("_n").over(W.orderBy("_split").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    # One row a split.
+    return rows.join(F.broadcast(before), "_split").select("kmer", "cnt", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("rank"))
+
+
 def print_lines(counts: DataFrame, k: int, pad: bool = False) -> DataFrame:
     """``line``: ``<letters> <count>``; ``pad`` fills the letters with A to whole words."""
     letters = codec.padded(F.col("kmer"), k) if pad else F.col("kmer")

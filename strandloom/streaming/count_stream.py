@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.count import count_kmers
+from ..sources.folders import shared_folder
 
 
 def stream_counts(stream: DataFrame, seq: str, k: int) -> DataFrame:
@@ -20,13 +20,15 @@ def stream_counts(stream: DataFrame, seq: str, k: int) -> DataFrame:
 def run_available(stream: DataFrame, seq: str, k: int, query_name: str | None = None) -> DataFrame:
     """Run the stream over what is there now and return the counts.
 
-    The result table and the stream's checkpoint lie in ``spark.checkpoint.dir``, or a temporary folder if unset.
+    The result table and the stream's checkpoint lie in the shared folder.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-")
-    at = os.path.join(base, query_name or f"stream-{uuid.uuid4().hex}")
+    at = os.path.join(shared_folder(spark), query_name or f"stream-{uuid.uuid4().hex}")
     out = f"{at}/table"
 
+    # A stream without data has no batch; its counts are an empty table.
+    spark.createDataFrame([], "kmer string, cnt bigint").write.mode("ignore").parquet(out)
+
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
