@@ -6,7 +6,8 @@ the first ``n - alpha + l`` of each. Each class takes the l of least estimated c
 in the prefix for l, S rows are met in the join and at most S / l partners share l of them and must be verified. Its prefix
 is that long, and a pair must share as many prefix shingles as the smaller l of the two before it is verified. A posting
 carries the class's size and the shingle's place, which together bound the sizes of its partners: they are part of the join's
-key (size bands) and, exactly, of its condition. It also carries the set's parity bits, which bound what two sets share.
+key (size bands) and, exactly, of its condition. Where a shingle has more than ``FEW`` classes, postings also carry their sets'
+parity bits, which bound what two sets share.
 
 Links are only needed to find components, so candidates are tried in two ways: first each class against one pivot class
 of its prefix shingles, which joins groups of near copies with about one pair per member; then all pairs of classes that share
@@ -53,8 +54,10 @@ COMMON = 32
 MAX_COMMON = 1 << 20
 #: The most matches asked for, and what it costs to verify a pair, in rows of the join that finds it.
 MAX_MATCHES, VERIFY = 12, 4
-#: Least bits of a set's parity filter, a power of two of 64 or more.
-BITS = 256
+#: Bits of a set's parity filter, by the set's size between these powers of two.
+BITS, MOST_BITS = 256, 2048
+#: Classes under one shingle beyond which their postings carry these bits.
+FEW = 8
 #: Size bands for each factor 1.25, the most by which the sizes of sets that link differ.
 BANDS = 4
 
@@ -139,9 +142,9 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     """A set's shingles hashed to bits, each bit the parity of those that meet in it, as 64-bit words.
 
     Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
-    drops no pair wrongly. There is a bit or more for each shingle, a power of two in all and ``BITS`` at least.
+    drops no pair wrongly. There is a bit or more for each shingle, a power of two in all, BITS at least and MOST_BITS at most.
     """
-    size = max(BITS, 1 << (len(s) - 1).bit_length())
+    size = min(max(BITS, 1 << (len(s) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -260,29 +263,35 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) * (BANDS / math.log(SHARED_PARTS / UNION_PARTS)) + 1e-6).cast("int")
 
 
-def _candidates(member: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root, bits``.
+def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
 
     Of alpha shingles that two sets share with l matches asked, l lie where ``n - i - 1 + l >= alpha`` holds on both sides; as
     alpha grows with both sizes, this bounds a partner's size by ``most``. The larger set waits in its band, the smaller one
     asks all bands from its own to the one of its bound.
     """
-    open_ = member.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
+    open_ = member.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi").select("t", "g")
     reach = (F.col("n") - F.col("i") - 1 + F.col("matches")) * ((SHARED_PARTS + UNION_PARTS) / UNION_PARTS) - F.col("n")
     left = materialised(member.join(open_, "t").withColumn("most", F.least(F.floor(reach + 1e-6), F.floor(F.col("n") * (SHARED_PARTS / UNION_PARTS)))))
-    names = ("cls", "n", "matches", "i", "root", "most", "bits")
-    x = left.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
-    bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
-    y = left.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") > F.col("cls_b")))
-    size = F.col("n_a") + F.col("n_b")
+    names = ("cls", "n", "matches", "i", "root", "most")
     matches = F.least("matches_a", "matches_b")
-    both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
-    enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
+    size = F.col("n_a") + F.col("n_b")
+
+    def met(rows: DataFrame, names: tuple[str, ...], near: Column) -> DataFrame:
+        x = rows.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
+        bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
+        y = rows.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
+        larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") > F.col("cls_b")))
+        sizes = larger & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
+        both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
+        enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
+        pairs = x.join(y, ["t", "band"]).where(sizes & (F.col("root_a") != F.col("root_b")) & enough & near)
+        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"))
+
+    few = met(left.where(F.col("g") <= FEW), names, F.lit(True))
     near = (size - apart("bits_a", "bits_b")) * (SHARED_PARTS + UNION_PARTS) >= size * 2 * UNION_PARTS
-    sizes = larger & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
-    met = x.join(y, ["t", "band"]).where(sizes & (F.col("root_a") != F.col("root_b")) & enough & near)
-    pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l")).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
+    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), near)
+    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
     out = materialised(pairs.where("c >= l").select("a", "b"))
     drop_table(left)
     return out
@@ -301,9 +310,8 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
 
     # What is left: pairs of different components.
-    known = reps.select("cls", "bits").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "bits", F.coalesce("root", "cls").alias("root"))
-    member = shared.join(known, "cls")
-    again = _candidates(member)
+    member = shared.join(roots, shared["cls"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "cls").alias("root"))
+    again = _candidates(member, reps)
     more = _linked(again, docs, reps)
     final = components(links.unionByName(more))
     for t in (shared, best, again, reps, links, more):
