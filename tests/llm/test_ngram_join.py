@@ -126,7 +126,8 @@ def test_parity_bits_bound_the_intersection(spark):
     frame = spark.createDataFrame(rows, "i int, x array<bigint>, y array<bigint>")
     got = frame.select("i", J.apart("x", "y").alias("h"), J.apart("y", "x").alias("g")).orderBy("i").collect()
     assert all(r["h"] == r["g"] <= w for r, w in zip(got, want))
-    assert sum(r["h"] for r in got) > 0.3 * sum(want)
+    # Bits of very different sets saturate at half their number; near the threshold the bound is close.
+    assert all(r["h"] >= 0.6 * w for r, w in zip(got, want) if r["i"] % 4 >= 2)
 
 
 def test_sizes_over_bands(spark):
