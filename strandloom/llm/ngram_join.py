@@ -58,8 +58,8 @@ MAX_MATCHES, VERIFY = 12, 4
 BITS, MOST_BITS = 256, 2048
 #: Classes under one shingle beyond which their postings carry these bits.
 FEW = 8
-#: Size bands for each factor 1.25, the most by which the sizes of sets that link differ.
-BANDS = 4
+#: Size bands for each factor 1.25, the most by which the sizes of sets that link differ. A row asks one band more than that.
+BANDS = 1
 
 
 def normal(text: str | None) -> bytes:
