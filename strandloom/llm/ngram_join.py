@@ -248,7 +248,8 @@ def _pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
     The pivot of a shingle is the class with the fewest prefix shingles of its own, then the smallest: of near copies, the one
     that the others were made from.
     """
-    alone = reps.join(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("c")), "cls").select("cls", (F.size("p") - F.col("c")).alias("alone"))
+    met = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("c"))
+    alone = reps.select("cls", F.size("p").alias("all")).join(met, "cls").select("cls", (F.col("all") - F.col("c")).alias("alone"))
     own = materialised(shared.join(alone, "cls").select("t", F.struct("alone", "n", "cls").alias("own")))
     lead = materialised(own.groupBy("t").agg(F.min("own").alias("pivot")))
     tried = own.join(lead, "t").where((F.col("own.cls") != F.col("pivot.cls")) & _fits(F.col("own.n"), F.col("pivot.n")))
