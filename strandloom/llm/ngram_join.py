@@ -20,7 +20,8 @@ shingles is bounded by ``MAX_COMMON`` and sent to all tasks. A rare shingle make
 of all shingles, so the windows over rare shingles have no hot partition.
 
 Texts are compressed before they move, once for each of the two ways, whatever the size of the input; nothing else is
-broadcast. Class names are 128-bit, shingles are compared as 64-bit hashes.
+broadcast. Class names are 128-bit, shingles are compared as 64-bit hashes; tables of the join carry a number in place of
+the name, and each is deleted once nothing reads it.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components; rows with equal ids are
 separate rows; a null id is no candidate for the smallest id, and a component of null ids only has a null id; ids may have
@@ -168,7 +169,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, k, cls, n, rare, matches, p, bits``; cls is null without words."""
+    """``doc_id, k, name, n, rare, matches, p, bits``; name, the class's, is null without words."""
     common, counts = common_shingles(docs)
     sent = docs.sparkSession.sparkContext.broadcast((common, counts))
 
@@ -180,7 +181,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
             else:
                 yield doc_id, k, None, 0, 0, 0, None, None
 
-    schema = f"doc_id {type_of(docs, 'doc_id')}, k bigint, cls binary, n bigint, rare int, matches int, p array<bigint>, bits array<bigint>"
+    schema = f"doc_id {type_of(docs, 'doc_id')}, k bigint, name binary, n bigint, rare int, matches int, p array<bigint>, bits array<bigint>"
     return map_chunks(_named(docs), ["doc_id", "k", "text"], chunk, schema, rows=CHUNK)
 
 
@@ -190,7 +191,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     The compressed text of a travels to b, where b's own text waits; each text leaves the scan once.
     """
     ask = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("b").alias("to")).distinct())
-    ask = ask.join(reps.select("cls", "one"), "cls").select("cls", "to", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k"))
+    ask = ask.join(reps.select("cls", "name", "one"), "cls").select("cls", "name", "to", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k"))
 
     def pack(ids, ks, texts):
         z = zstandard.ZstdCompressor(level=3)
@@ -200,24 +201,24 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     packed = map_chunks(_named(docs), ["doc_id", "k", "text"], pack, f"doc_id {type_of(docs, 'doc_id')}, k bigint, z binary")
     met = packed.join(ask, (F.col("k") == F.col("w_k")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    moved = materialised(met.select("cls", "to", "z"))
-    left = moved.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("z").alias("z_a"))
-    right = moved.where("cls = to").select(F.col("cls").alias("w"), F.col("z").alias("z_b"))
+    moved = materialised(met.select("cls", "name", "to", "z"))
+    left = moved.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("name").alias("name_a"), F.col("z").alias("z_a"))
+    right = moved.where("cls = to").select(F.col("cls").alias("w"), F.col("name").alias("name_b"), F.col("z").alias("z_b"))
 
-    def compare(a, b, z_a, z_b):
+    def compare(a, b, name_a, name_b, z_a, z_b):
         unzip = zstandard.ZstdDecompressor()
         new = [i for i in range(len(b)) if not i or b[i] != b[i - 1]]  # pairs of one b follow each other
         sets = shingle_sets([unzip.decompress(z) for z in z_a] + [unzip.decompress(z_b[i]) for i in new])
         at = -1
-        for i, (x, y, s) in enumerate(zip(a, b, sets)):
+        for i, s in enumerate(sets[: len(a)]):
             at += at + 1 < len(new) and new[at + 1] == i
             t = sets[len(a) + at]
             shared = len(np.intersect1d(s, t, assume_unique=True))
-            if SHARED_PARTS * shared >= UNION_PARTS * (len(s) + len(t) - shared) and class_of(s) == x and class_of(t) == y:
-                yield x, y
+            if SHARED_PARTS * shared >= UNION_PARTS * (len(s) + len(t) - shared) and class_of(s) == name_a[i] and class_of(t) == name_b[i]:
+                yield a[i], b[i]
 
     both = left.join(right, F.col("b") == F.col("w"))
-    out = materialised(map_chunks(both, ["a", "b", "z_a", "z_b"], compare, "a binary, b binary", rows=CHUNK))
+    out = materialised(map_chunks(both, ["a", "b", "name_a", "name_b", "z_a", "z_b"], compare, "a bigint, b bigint", rows=CHUNK))
     drop_table(moved)
     return out
 
@@ -249,7 +250,7 @@ def _pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
     that the others were made from.
     """
     met = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("c"))
-    alone = reps.select("cls", F.size("p").alias("all")).join(met, "cls").select("cls", (F.col("all") - F.col("c")).alias("alone"))
+    alone = reps.select("cls", "places").join(met, "cls").select("cls", (F.col("places") - F.col("c")).alias("alone"))
     own = materialised(shared.join(alone, "cls").select("t", F.struct("alone", "n", "cls").alias("own")))
     lead = materialised(own.groupBy("t").agg(F.min("own").alias("pivot")))
     tried = own.join(lead, "t").where((F.col("own.cls") != F.col("pivot.cls")) & _fits(F.col("own.n"), F.col("pivot.n")))
@@ -298,13 +299,22 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
+def _classes(full: DataFrame) -> DataFrame:
+    """``cls, name, one, n, rare, matches, p, bits``: the number of each class, one of its rows, and what its rows agree in."""
+    same = [F.first(c).alias(c) for c in ("n", "rare", "matches", "p", "bits")]
+    named = full.where("name is not null").groupBy("name").agg(F.min(F.struct("doc_id", "k")).alias("one"), *same)
+    return named.withColumn("cls", F.monotonically_increasing_id())
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, roots)``: doc_id, k, cls, n of every row; cls and root of the classes that link to another class."""
-    rows = materialised(_prefixes(docs))
-    one = F.min(F.struct("doc_id", "k")).alias("one")
-    full = rows.where("cls is not null")
-    reps = materialised(full.groupBy("cls").agg(one, F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("matches").alias("matches"), F.first("p").alias("p"), F.first("bits").alias("bits")))
-    shared = materialised(_postings(reps))
+    """``(rows, roots)``: doc_id, k, name, n of every row; name and root of every class, the root a number that linked classes share."""
+    full = materialised(_prefixes(docs))
+    wide = materialised(_classes(full))
+    rows = materialised(full.select("doc_id", "k", "name", "n"))
+    drop_table(full)
+    shared = materialised(_postings(wide))
+    reps = materialised(wide.select("cls", "name", "one", F.size("p").alias("places"), "bits"))
+    drop_table(wide)
 
     best = _pivots(shared, reps)
     links = _linked(best, docs, reps)
@@ -313,19 +323,20 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # What is left: pairs of different components.
     member = shared.join(roots, shared["cls"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "cls").alias("root"))
     again = _candidates(member, reps)
+    drop_table(shared)
     more = _linked(again, docs, reps)
     final = components(links.unionByName(more))
-    for t in (shared, best, again, reps, links, more):
+    named = materialised(reps.join(final, reps["cls"] == final["node"], "left").select("name", F.coalesce("root", "cls").alias("root")))
+    for t in (best, again, reps, links, more):
         drop_table(t)
-    return rows, final
+    return rows, named
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """``doc_id, k, n, root`` of every row; root is null without words."""
     rows, roots = link_classes(docs)
     # One class may hold a third of all rows: the skew join of adaptive execution splits its side.
-    joined = rows.select("doc_id", "k", "cls", "n").join(roots, rows["cls"] == roots["node"], "left")
-    return materialised(joined.select("doc_id", "k", "n", F.coalesce("root", "cls").alias("root")))
+    return materialised(rows.join(roots, "name", "left").select("doc_id", "k", "n", "root"))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
