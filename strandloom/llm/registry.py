@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_text, language_id, license_scan, ngram_join, ogg_media, repeat_removal, secret_scan, source_mix
-from .common import table
+from . import chat_format, decontaminate, html_text, language_id, license_scan, ngram_join, ogg_media, repeat_removal, secret_scan, sharding, source_mix
+from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +132,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled, written in 40 shards and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.digest(sharding.write_shards(docs, f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"))
