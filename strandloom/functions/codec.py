@@ -59,6 +59,17 @@ def encode_words(kmer: Column, k: int) -> Column:
     return F.concat(*words)
 
 
+def pack(letters: Column) -> Column:
+    """The word of up to 32 letters as a bigint with the word's bits, filled with A."""
+    digits = F.translate(F.rpad(letters, BASES_PER_WORD, "A"), BASES, DIGITS)
+    return F.conv(digits, 4, -10).cast("bigint")
+
+
+def words(kmer: Column, k: int) -> list[Column]:
+    """All words of a k-mer, as ``pack`` has them."""
+    return [pack(_word(kmer, k, i)) for i in range(n_words(k))]
+
+
 def decode_padded(packed: Column, k: int) -> Column:
     """Letters of a packed k-mer, whole words (padding A's included)."""
     return F.concat(

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import count as C
 from ..operators import extract as X
+from ..operators import packed as P
+from ..operators import runs
 from ..sources.fastq import read_fastq, read_lengths
-from ..sources.kmer_file import numbered_kmer_file, print_lines, read_kmer_file, write_kmer_file
 from ..sources.folders import shared_folder
+from ..sources.kmer_file import merge_sorted, numbered_kmer_file, print_lines, read_kmer_file, write_kmer_file, write_words
 from ..streaming.count_stream import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +82,11 @@ def _count(reads: Query, k: int, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = shared_folder(spark)
-    return f"{base.removeprefix('file://').removeprefix('file:')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _count_packed(reads: Query, k: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.unpacked(P.count_packed(reads(spark, sf_dir), "seq", k), k)
 
 
 def reads_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +216,39 @@ def sorted_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_kmer_file(spark, at, 5)
 
 
+def reduce_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of the short reads in order, reduced by runs."""
+    windows = P.packed_windows(short_reads(spark, sf_dir), "seq", 5).withColumn("cnt", F.lit(1).cast("bigint"))
+    return P.unpacked(runs.reduce_sorted(runs.sort_packed(windows, 5), 5), 5)
+
+
+def _sorted_folder(reads: DataFrame, k: int) -> str:
+    """A packed folder of sorted counts."""
+    at = _scratch(reads.sparkSession)
+    write_words(runs.sort_packed(P.count_packed(reads, "seq", k), k), at, k)
+    return at
+
+
+def merge_sorted_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sorted folders merged by shared cut points, written, and numbered in the order of their records."""
+    reads, out = long_reads(spark, sf_dir), _scratch(spark)
+    folders = [_sorted_folder(reads.where(F.pmod("read_id", F.lit(3)) == i), 9) for i in range(3)]
+    write_kmer_file(merge_sorted(spark, folders, 9, split_bytes=1 << 16), out, 9)
+    return numbered_kmer_file(spark, out, 9)
+
+
+def lookup_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-mers of a sorted folder from ACG up to ACT, found through its index."""
+    return read_kmer_file(spark, _sorted_folder(long_reads(spark, sf_dir), 40), 40, **{"from": "ACG", "to": "ACT"})
+
+
+def packed_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a sorted folder with their place, and whether the place in the file agrees with it."""
+    rows = read_kmer_file(spark, _sorted_folder(short_reads(spark, sf_dir), 5), 5, places=True)
+    firsts = rows.groupBy("file").agg(F.min("rank").alias("first"))
+    return rows.join(firsts, "file").select("kmer", "cnt", "rank", (F.col("record") == F.col("rank") - F.col("first")).alias("agrees"))
+
+
 def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The short reads as a file stream, counted until nothing is left."""
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
@@ -231,14 +269,21 @@ QUERIES: dict[str, Query] = {
     for f in (
         reads_projection, base_validity, valid_runs, kmer_positions, encode_words, decode_words, print_padded, print_trimmed,
         record_bounds, reduce_adjacent, distinct_kmers, sorted_kmers, merge_counts, nonzero_filter, kmer_file_roundtrip,
-        fastq_roundtrip, merge_packed, sorted_packed, stream_count,
+        fastq_roundtrip, merge_packed, sorted_packed, stream_count, reduce_sorted, merge_sorted_packed, lookup_packed, packed_by_file,
     )
 }
+_PACKED_KS = {k: (short_reads, SHORT_SQL) for k in (5, 31, 32)} | {k: (long_reads, LONG_SQL) for k in (33, 64, 128)}
+QUERIES |= {f"kmer_count_packed_k{k}": partial(_count_packed, reads, k) for k, (reads, _) in _PACKED_KS.items()}
 QUERIES["read_lengths"] = lengths_of_reads
 QUERIES |= {name: partial(_count, reads, k) for name, (reads, _, k) in _KS.items()}
 
 ORACLE_SQL: dict[str, str] = {name: _count_sql(sql, k) for name, (_, sql, k) in _KS.items()}
+ORACLE_SQL |= {f"kmer_count_packed_k{k}": _count_sql(sql, k) for k, (_, sql) in _PACKED_KS.items()}
 ORACLE_SQL |= {
+    "reduce_sorted": _count_sql(SHORT_SQL, 5),
+    "merge_sorted_packed": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank FROM ({_count_sql(LONG_SQL, 9)})",
+    "lookup_packed": f"SELECT * FROM ({_count_sql(LONG_SQL, 40)}) WHERE kmer >= 'ACG' AND kmer < 'ACT'",
+    "packed_by_file": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank, TRUE AS agrees FROM ({_count_sql(SHORT_SQL, 5)})",
     "reads_projection": f"SELECT read_id, seq, CAST(length(seq) AS BIGINT) AS n_bases FROM ({SHORT_SQL})",
     "base_validity": "SELECT read_id, CAST(length(regexp_replace(seq, '[^ACGT]+', '', 'g')) AS BIGINT) AS n_valid, "
     f"CAST(length(seq) - length(regexp_replace(seq, '[^ACGT]+', '', 'g')) AS BIGINT) AS n_invalid FROM ({SHORT_SQL})",

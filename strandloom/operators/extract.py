@@ -27,18 +27,19 @@ def valid_runs(df: DataFrame, seq: str, *keep: str, min_length: int = 1) -> Data
     return runs.where(F.length("run") >= min_length).withColumn("run_no", F.col("run_no").cast("bigint"))
 
 
-def _tiles(runs: DataFrame, k: int, *keep: str) -> DataFrame:
-    starts = F.explode(F.sequence(F.lit(1), F.length("run") - F.lit(k) + 1, F.lit(TILE))).alias("tile_start")
+def tiles(runs: DataFrame, k: int, *keep: str, size: int = TILE) -> DataFrame:
+    """``keep..., tile_start, tile``: pieces of ``run`` that overlap by k - 1 letters, so that each window lies in one."""
+    starts = F.explode(F.sequence(F.lit(1), F.length("run") - F.lit(k) + 1, F.lit(size))).alias("tile_start")
     cut = runs.select(*keep, "run", starts)
-    return cut.select(*keep, "tile_start", F.substring(F.col("run"), F.col("tile_start"), F.lit(TILE + k - 1)).alias("tile"))
+    return cut.select(*keep, "tile_start", F.substring(F.col("run"), F.col("tile_start"), F.lit(size + k - 1)).alias("tile"))
 
 
 def kmer_positions(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
     """``keep..., run_no, pos bigint (1-based in the run), kmer`` for every valid window."""
     if k < 1:
         raise ValueError(f"k must be 1 or more, not {k}")
-    tiles = _tiles(valid_runs(df, seq, *keep, min_length=k), k, *keep, "run_no")
-    at = tiles.select("*", F.explode(F.sequence(F.lit(1), F.length("tile") - F.lit(k) + 1)).alias("p"))
+    cut = tiles(valid_runs(df, seq, *keep, min_length=k), k, *keep, "run_no")
+    at = cut.select("*", F.explode(F.sequence(F.lit(1), F.length("tile") - F.lit(k) + 1)).alias("p"))
     return at.select(
         *keep,
         "run_no",
