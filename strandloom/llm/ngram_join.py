@@ -10,17 +10,17 @@ key (size bands) and, exactly, of its condition. Where a shingle has more than `
 parity bits, which bound what two sets share.
 
 Links are only needed to find components, so candidates are tried in two ways: first each class against one pivot class
-of its prefix shingles, which joins groups of near copies with about one pair per member; then all pairs of classes that share
-prefix shingles and still lie in different components. No link between components can be missed, and a group of a thousand near
-copies never becomes a million pairs.
+of its prefix shingles, which joins groups of near copies with about one pair per member; then pairs of classes that share
+prefix shingles and still lie in different components, in rounds that take each class's likeliest pair first and drop the pairs
+that have come to lie in one component. No link between components can be missed. Pairs are kept as numbers; texts move only for
+pairs that are tried.
 
 Counts of common shingles cover all documents: every task sorts its shingles in runs of ``RUN`` and reports those that
 occur ``LOCAL`` times in a run; the sums rank them. The order affects cost only, never results. The set of common
 shingles is bounded by ``MAX_COMMON`` and sent to all tasks. A rare shingle makes up at most LOCAL / RUN or 1 / MAX_COMMON
 of all shingles, so the windows over rare shingles have no hot partition.
 
-Texts are compressed before they move, once for each of the two ways, whatever the size of the input; nothing else is
-broadcast. Class names are 128-bit, shingles are compared as 64-bit hashes; tables of the join carry a number in place of
+Texts are compressed once and written for the classes that share prefix shingles; nothing else is broadcast. Class names are 128-bit, shingles are compared as 64-bit hashes; tables of the join carry a number in place of
 the name, and each is deleted once nothing reads it.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components; rows with equal ids are
@@ -143,9 +143,9 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     """A set's shingles hashed to bits, each bit the parity of those that meet in it, as 64-bit words.
 
     Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
-    drops no pair wrongly. There is a bit or more for each shingle, a power of two in all, BITS at least and MOST_BITS at most.
+    drops no pair wrongly. There are two bits or more for each shingle, a power of two in all, BITS at least and MOST_BITS at most.
     """
-    size = min(max(BITS, 1 << (len(s) - 1).bit_length()), MOST_BITS)
+    size = min(max(BITS, 2 << (len(s) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -185,13 +185,9 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return map_chunks(_named(docs), ["doc_id", "k", "text"], chunk, schema, rows=CHUNK)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
-
-    The compressed text of a travels to b, where b's own text waits; each text leaves the scan once.
-    """
-    ask = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("b").alias("to")).distinct())
-    ask = ask.join(reps.select("cls", "name", "one"), "cls").select("cls", "name", "to", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k"))
+def _store(docs: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """``cls, name, z``: the compressed text of each class that shares prefix shingles, from one scan of the texts."""
+    ask = reps.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "name", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k"))
 
     def pack(ids, ks, texts):
         z = zstandard.ZstdCompressor(level=3)
@@ -201,13 +197,19 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     packed = map_chunks(_named(docs), ["doc_id", "k", "text"], pack, f"doc_id {type_of(docs, 'doc_id')}, k bigint, z binary")
     met = packed.join(ask, (F.col("k") == F.col("w_k")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    moved = materialised(met.select("cls", "name", "to", "z"))
-    left = moved.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("name").alias("name_a"), F.col("z").alias("z_a"))
-    right = moved.where("cls = to").select(F.col("cls").alias("w"), F.col("name").alias("name_b"), F.col("z").alias("z_b"))
+    return materialised(met.select("cls", "name", "z"))
+
+
+def _linked(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. The text of a travels to b, where b's own text waits."""
+    left = pairs.join(store, pairs["a"] == store["cls"]).select("a", "b", F.col("name").alias("name_a"), F.col("z").alias("z_a"))
+    # Written, so that both sides of the join below come from an exchange; only then are hot partitions split.
+    wanted = store.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi")
+    right = materialised(wanted.select(F.col("cls").alias("w"), F.col("name").alias("name_b"), F.col("z").alias("z_b")))
 
     def compare(a, b, name_a, name_b, z_a, z_b):
         unzip = zstandard.ZstdDecompressor()
-        new = [i for i in range(len(b)) if not i or b[i] != b[i - 1]]  # pairs of one b follow each other
+        new = [i for i in range(len(b)) if not i or b[i] != b[i - 1]]  # pairs of one b often follow each other
         sets = shingle_sets([unzip.decompress(z) for z in z_a] + [unzip.decompress(z_b[i]) for i in new])
         at = -1
         for i, s in enumerate(sets[: len(a)]):
@@ -219,7 +221,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     both = left.join(right, F.col("b") == F.col("w"))
     out = materialised(map_chunks(both, ["a", "b", "name_a", "name_b", "z_a", "z_b"], compare, "a bigint, b bigint", rows=CHUNK))
-    drop_table(moved)
+    drop_table(right)
     return out
 
 
@@ -266,7 +268,9 @@ def _band(n: Column) -> Column:
 
 
 def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
+    """``a, b, h``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
+
+    h is the number of places in which their parity bits differ, 0 where a shingle has few classes.
 
     Of alpha shingles that two sets share with l matches asked, l lie where ``n - i - 1 + l >= alpha`` holds on both sides; as
     alpha grows with both sizes, this bounds a partner's size by ``most``. The larger set waits in its band, the smaller one
@@ -279,7 +283,7 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
     matches = F.least("matches_a", "matches_b")
     size = F.col("n_a") + F.col("n_b")
 
-    def met(rows: DataFrame, names: tuple[str, ...], near: Column) -> DataFrame:
+    def met(rows: DataFrame, names: tuple[str, ...], near: Column, h: Column) -> DataFrame:
         x = rows.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
         bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
         y = rows.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
@@ -288,13 +292,13 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
         both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
         enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
         pairs = x.join(y, ["t", "band"]).where(sizes & (F.col("root_a") != F.col("root_b")) & enough & near)
-        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"))
+        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"), h.alias("h"))
 
-    few = met(left.where(F.col("g") <= FEW), names, F.lit(True))
+    few = met(left.where(F.col("g") <= FEW), names, F.lit(True), F.lit(0))
     near = (size - apart("bits_a", "bits_b")) * (SHARED_PARTS + UNION_PARTS) >= size * 2 * UNION_PARTS
-    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), near)
-    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
-    out = materialised(pairs.where("c >= l").select("a", "b"))
+    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), near, apart("bits_a", "bits_b"))
+    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"), F.max("h").alias("h"))
+    out = materialised(pairs.where("c >= l").select("a", "b", "h"))
     drop_table(left)
     return out
 
@@ -306,6 +310,43 @@ def _classes(full: DataFrame) -> DataFrame:
     return named.withColumn("cls", F.monotonically_increasing_id())
 
 
+def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``cls, root`` with the components that new links join."""
+    a, b = (state.select(F.col("cls").alias(f"c_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
+    edges = links.join(a, links["a"] == a["c_a"]).join(b, links["b"] == b["c_b"]).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    more = components(edges).withColumnRenamed("root", "joined")
+    new = materialised(state.join(more, state["root"] == more["node"], "left").select("cls", F.coalesce("joined", "root").alias("root")))
+    drop_table(more)
+    drop_table(state)
+    return new
+
+
+def _rounds(pairs: DataFrame, state: DataFrame, store: DataFrame) -> DataFrame:
+    """``cls, root`` when no pair (a, b, h) of different components is left that was not verified.
+
+    A round verifies, for each class, its likeliest open pair: that whose bits differ least. What it joins closes other pairs,
+    which are dropped; so of a group of near copies that are joined in the end, about as many pairs move as it has members,
+    not all of them. Each round takes four times as many pairs a class as the one before, so rounds are few where all fail.
+    """
+    slots = 1
+    while True:
+        a, b = (state.select(F.col("cls").alias(f"c_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
+        met = pairs.join(a, pairs["a"] == a["c_a"]).join(b, pairs["b"] == b["c_b"])
+        apart_ = materialised(met.where("r_a <> r_b").select("a", "b", "h"))
+        if apart_.isEmpty():
+            drop_table(apart_)
+            return state
+        tried = apart_.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("h", "b")).alias("m"))
+        tried = materialised(tried.select("a", F.col("m.b").alias("b")))
+        links = _linked(tried, store)
+        rest = materialised(apart_.join(tried, ["a", "b"], "left_anti"))
+        if not links.isEmpty():
+            state = _joined(state, links)
+        for t in (links, tried, apart_, pairs):
+            drop_table(t)
+        pairs, slots = rest, slots * 4
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, roots)``: doc_id, k, name, n of every row; name and root of every class, the root a number that linked classes share."""
     full = materialised(_prefixes(docs))
@@ -315,19 +356,19 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialised(_postings(wide))
     reps = materialised(wide.select("cls", "name", "one", F.size("p").alias("places"), "bits"))
     drop_table(wide)
+    store = _store(docs, reps, shared)
 
     best = _pivots(shared, reps)
-    links = _linked(best, docs, reps)
-    roots = components(links)
+    links = _linked(best, store)
+    state = _joined(materialised(reps.select("cls", F.col("cls").alias("root"))), links)
 
     # What is left: pairs of different components.
-    member = shared.join(roots, shared["cls"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "cls").alias("root"))
+    member = shared.join(state, "cls").select(*shared.columns, "root")
     again = _candidates(member, reps)
     drop_table(shared)
-    more = _linked(again, docs, reps)
-    final = components(links.unionByName(more))
-    named = materialised(reps.join(final, reps["cls"] == final["node"], "left").select("name", F.coalesce("root", "cls").alias("root")))
-    for t in (best, again, reps, links, more):
+    state = _rounds(again, state, store)
+    named = materialised(reps.join(state, "cls").select("name", "root"))
+    for t in (best, reps, links, store, state):
         drop_table(t)
     return rows, named
 

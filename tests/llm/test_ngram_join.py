@@ -149,6 +149,43 @@ def test_group_around_the_threshold(spark):
     assert sorted(map(tuple, J.join_components(docs(spark, rows)).collect())) == brute(rows)
 
 
+@pytest.fixture
+def moved(monkeypatch):
+    """How many pairs of texts each call of ``_linked`` is given."""
+    counts, linked = [], J._linked
+
+    def counting(pairs, store):
+        counts.append(pairs.count())
+        return linked(pairs, store)
+
+    monkeypatch.setattr(J, "_linked", counting)
+    return counts
+
+
+def near_copies(n, changes, first=0, words=200):
+    """Texts of which each differs from one base text, that is not among them, in some words."""
+    rng = random.Random(changes)
+    base, rows = [f"b{changes}_{i}" for i in range(words)], []
+    for i in range(n):
+        v = list(base)
+        for at in rng.sample(range(words), changes):
+            v[at] = f"e{i}_{at}"
+        rows.append((first + i, " ".join(v)))
+    return rows
+
+
+def test_pairs_moved_grow_with_the_groups(spark, moved):
+    """Groups of similarities about 0.82, 0.74, 0.67 and 0.55: pairs that move are a few for each text, not all pairs."""
+    each = []
+    for n in (400, 800):
+        groups = [near_copies(n, changes, changes * 1000) for changes in (2, 3, 4, 6)]
+        moved.clear()
+        got = sorted(map(tuple, J.join_components(docs(spark, [r for g in groups for r in g], extra=False)).collect()))
+        assert got == sorted(r for g in groups for r in brute(g))
+        each.append(sum(moved))
+    assert each[1] <= 2.5 * each[0] and each[1] <= 4 * 4 * 800
+
+
 def test_null_ids_string_ids_and_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(None, text), (None, text), (None, text + " more"), (3, text + " more"), (None, "alone in the world"), (None, None)]
