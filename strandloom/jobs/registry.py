@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..functions import sql as sql_functions
 from ..operators import count as C
 from ..operators import extract as X
 from ..operators import packed as P
-from ..operators import runs
+from ..operators import runs, sketch
 from ..sources.fastq import read_fastq, read_lengths
 from ..sources.folders import shared_folder
 from ..sources.kmer_file import merge_sorted, numbered_kmer_file, print_lines, read_kmer_file, write_kmer_file, write_words
@@ -249,6 +250,26 @@ def packed_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(firsts, "file").select("kmer", "cnt", "rank", (F.col("record") == F.col("rank") - F.col("first")).alias("agrees"))
 
 
+def distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two halves of the reads, merged; whether their estimate is within four standard errors of the exact number."""
+    reads = short_reads(spark, sf_dir)
+    halves = [sketch.sketch_kmers(reads.where(F.pmod("read_id", F.lit(2)) == i), "seq", 7) for i in (0, 1)]
+    merged = sketch.merge_sketches(*halves).select(sketch.estimate().alias("near"), F.col("n_total").alias("sketched"))
+    off = F.abs(F.col("near") - F.col("n_distinct")) <= 4 * sketch.standard_error() * F.col("n_distinct")
+    exact = C.distinct_kmers(reads, "seq", 7)
+    return exact.crossJoin(merged).select("n_distinct", "n_total", (F.col("sketched") == F.col("n_total")).alias("same_total"), off.alias("close"))
+
+
+def sql_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count written in SQL only."""
+    sql_functions.register(spark)
+    short_reads(spark, sf_dir).createOrReplaceTempView("strandloom_reads")
+    return spark.sql(
+        "SELECT kmer_letters(words, 5) AS kmer, count(*) AS cnt "
+        "FROM (SELECT kmer_words(kmer) AS words FROM strandloom_reads, LATERAL kmer_windows(seq, 5)) GROUP BY words"
+    )
+
+
 def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The short reads as a file stream, counted until nothing is left."""
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
@@ -270,6 +291,7 @@ QUERIES: dict[str, Query] = {
         reads_projection, base_validity, valid_runs, kmer_positions, encode_words, decode_words, print_padded, print_trimmed,
         record_bounds, reduce_adjacent, distinct_kmers, sorted_kmers, merge_counts, nonzero_filter, kmer_file_roundtrip,
         fastq_roundtrip, merge_packed, sorted_packed, stream_count, reduce_sorted, merge_sorted_packed, lookup_packed, packed_by_file,
+        distinct_sketch, sql_windows,
     )
 }
 _PACKED_KS = {k: (short_reads, SHORT_SQL) for k in (5, 31, 32)} | {k: (long_reads, LONG_SQL) for k in (33, 64, 128)}
@@ -283,6 +305,8 @@ ORACLE_SQL |= {
     "reduce_sorted": _count_sql(SHORT_SQL, 5),
     "merge_sorted_packed": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank FROM ({_count_sql(LONG_SQL, 9)})",
     "lookup_packed": f"SELECT * FROM ({_count_sql(LONG_SQL, 40)}) WHERE kmer >= 'ACG' AND kmer < 'ACT'",
+    "distinct_sketch": f"SELECT count(*) AS n_distinct, CAST(sum(cnt) AS BIGINT) AS n_total, TRUE AS same_total, TRUE AS close FROM ({_count_sql(SHORT_SQL, 7)})",
+    "sql_windows": _count_sql(SHORT_SQL, 5),
     "packed_by_file": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank, TRUE AS agrees FROM ({_count_sql(SHORT_SQL, 5)})",
     "reads_projection": f"SELECT read_id, seq, CAST(length(seq) AS BIGINT) AS n_bases FROM ({SHORT_SQL})",
     "base_validity": "SELECT read_id, CAST(length(regexp_replace(seq, '[^ACGT]+', '', 'g')) AS BIGINT) AS n_valid, "

@@ -18,20 +18,48 @@ from contextlib import contextmanager
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.count import count_kmers
+from ..operators.extract import extract_kmers
 from ..sources.folders import shared_folder
 from ..sources.remote import open_at
 
 #: Choose so many that a bucket is a task's work.
 BUCKETS = 64
 _ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_WINDOWS = "windows"
 _ROWS, _CURRENT = "kmer string, cnt bigint", "bucket int, version bigint"
 
 
 def stream_counts(stream: DataFrame, seq: str, k: int) -> DataFrame:
     """Streaming ``kmer, cnt``; use output mode ``update`` or ``complete``. No watermark: counts never close."""
-    return count_kmers(stream, seq, k)
+    windows = extract_kmers(stream, seq, k).observe(_WINDOWS, F.count(F.lit(1)).alias("n"))
+    return windows.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+class Progress(StreamingQueryListener):
+    """What the queries of a session have counted so far: after each batch, ``report(batch, windows, distinct)``.
+
+    Windows are those of the batch, as observed on their way to the count; distinct k-mers are the rows of the state, so nothing
+    is counted again. Add it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self, report):
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if _WINDOWS in p.observedMetrics:
+            self.report(p.batchId, p.observedMetrics[_WINDOWS]["n"], sum(s.numRowsTotal for s in p.stateOperators))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def _versions(spark: SparkSession, at: str, before: int | None = None) -> dict[int, int]:
