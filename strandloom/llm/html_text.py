@@ -6,7 +6,9 @@ words in their class names. A decision tree, grown on the blocks of the small la
 
 Defined cases: null html is empty and has an empty text; text before the first tag is a block; unclosed tags last until
 their container ends, also buttons, pictures and media (``MUTED``), whose text is dropped; unclosed comments, scripts, styles,
-frames, titles and text areas last until the end of the page; a ``<`` that starts no tag is text.
+frames, titles and text areas last until the end of the page; a ``<`` that starts no tag is text. Inside an article, list items
+and table cells that are links stay, and so do formulas; a class or id drops a block only if all words of the name are those of
+boilerplate. Rows that repeat are rows of their own; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ CONTAINERS = frozenset(
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote hr address figcaption caption summary legend center head menu label option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Inline elements whose text is not the page's. They end with their end tag, or with the element that they stand in.
-MUTED = frozenset("svg math template object canvas select button audio video map".split())
-FOREIGN = frozenset(["svg", "math"])
-#: Elements of svg and math that may hold HTML, and HTML tags that end svg and math anywhere else.
-INTEGRATION = frozenset(["foreignobject", "desc", "annotation-xml"])
+MUTED = frozenset("svg template object canvas select button audio video map annotation annotation-xml".split())
+FOREIGN = frozenset(["svg"])
+#: Elements of svg that may hold HTML, and HTML tags that end svg anywhere else.
+INTEGRATION = frozenset(["foreignobject", "desc"])
 BREAKOUT = frozenset(
     """b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre
     ruby s small span strong strike sub sup table tt u ul var""".split()
@@ -61,6 +63,11 @@ BOILER_WORDS = frozenset(
     pagination pager paging tags tagcloud byline copyright legal disclaimer skip toc""".split()
 )
 ARTICLE_WORDS = frozenset("article content post entry story text body main".split())
+#: Words that say nothing beside one of the above: ``related-posts-list`` is boilerplate, ``related-work`` is not.
+NEUTRAL_WORDS = frozenset(
+    """a an and the of for by to in box list lists link links section block blocks wrapper wrap container area bar inner outer top bottom left
+    right site page global primary secondary item items group panel unit slot row col column inline articles posts stories entries news""".split()
+)
 #: Layout words do not make an article boilerplate: ``<article class="post has-sidebar">``.
 LAYOUT_WORDS = frozenset("sidebar header nav menu footer aside tags search banner".split())
 
@@ -89,12 +96,14 @@ def _nature(tag: str, attrs: str) -> tuple[bool, int, int]:
             name, given = m[1].lower(), m[2] or m[3] or m[4] or ""
             value = given.lower()
             if name in ("class", "id") and tag not in ("body", "html"):
-                found = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", given).lower()))
-                found -= LAYOUT_WORDS if tag in ARTICLE_TAGS else set()
-                if found & BOILER_WORDS:
-                    named = 1
-                elif not named and found & ARTICLE_WORDS and tag in CONTAINERS:
-                    named = -1
+                for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", given).lower().split():
+                    found = {w for w in re.split(r"[^a-z0-9]+", token) if w and not w.isdigit()}
+                    found -= LAYOUT_WORDS if tag in ARTICLE_TAGS else set()
+                    # A name with a word of its own (comment-on-method) is no class of boilerplate.
+                    if found & BOILER_WORDS and found <= BOILER_WORDS | ARTICLE_WORDS | NEUTRAL_WORDS:
+                        named = 1
+                    elif not named and found & ARTICLE_WORDS and tag in CONTAINERS:
+                        named = -1
             elif name == "role":
                 kind |= value in BOILER_ROLES
                 article = max(article, {"article": 3, "main": 2}.get(value, 0))
@@ -224,17 +233,17 @@ NEIGHBOURS = FEATURES[8:]
 LABELLED = (
     # Articles among menus, adverts, notices and footers.
     """<nav><ul><li><a>-1</a><li><a>-2</a><li><a>-1</a></ul></nav><div class=ad>-12</div><article><h1>+8</h1><p>+60<p>+1<p>+45<p>+200</article><footer>-9</footer>""",
-    """<header><a>-1</a> -6</header><nav><a>-1</a> <a>-1</a></nav><article><header><h1>+4</h1></header><p>+30 <a>+9</a> +3<p>+2<ul><li>+6<li>+20 <a>+4</a><li><a>-3</a></ul>
+    """<header><a>-1</a> -6</header><nav><a>-1</a> <a>-1</a></nav><article><header><h1>+4</h1></header><p>+30 <a>+9</a> +3<p>+2<ul><li>+6<li>+20 <a>+4</a><li><a>+3</a></ul>
        <div class=share>-2</div><blockquote>+12</blockquote><form><label>-1</label></form></article><section id=comments><h3>-1</h3><article class=comment><p>-25</article></section>
        <aside><h4>-2</h4><p>-40</aside><footer>-3 <a>-2</a></footer>""",
     """<div>-9</div><article><h2>+5</h2><p>+1</article><div>-30</div><p>-12<h3>-4</h3><ul><li>-8<li><a>-2</a></ul><footer>-14</footer>""",
     """<div class=cookie-notice>-25</div><main><h1>+3</h1><p>+80<p><a>+12</a><p>+3<table><tr><td>+1<td>+2<tr><td>+9<td>+1</table><p>+300<p>+6</main><div class=newsletter>-18</div>""",
-    """<article><p>+90<p>+3<h2>+1</h2><ul><li><a>-5</a><li><a>-1</a><li><a>-9</a></ul><p>+14<p class=byline>-4<p>+700<p>+4</article><p>-50<p>-22""",
+    """<article><p>+90<p>+3<h2>+1</h2><ul><li><a>+5</a><li><a>+1</a><li><a>+9</a></ul><p>+14<p class=byline>-4<p>+700<p>+4</article><p>-50<p>-22""",
     """<article><p>+2</article>""", """<article><h1><a>+5</a></h1><p><a>+2</a><p>+40<div class=promo>-60</div><p>+1</article><div>-3</div>""",
-    """<p>-60<article><h1>+12</h1><p>+900<p>+1<ul><li>+30 <a>+12</a><li><a>-8</a> -1<li>+10</ul><p>+20 <a>+70</a></article><p>-45<div><a>-3</a> -1</div>""",
-    """<article><p>+40<ul><li>+2<li><a>-2</a></ul><p>+5<ul><li><a>-3</a><li>+7<li><a>-2</a></ul><h3>+2</h3><ul><li><a>-2</a><li><a>-4</a></ul><p>+3<p>+1</article>""",
-    """<article><p>+1<p>+2<p>+1</article>""", """<article><p>+3<ul><li>+1<li><a>-1</a><li>+3</ul></article>""", """<article><p>+4<p><a>+3</a></article>""", """<article><p>+60<p>+5 <a>+1</a></article>""",
-    """<article><p>+10<p><a>+3</a><p>+5<p><a>+4</a><p>+12<p><a>+2</a><p>+1<ul><li><a>-3</a><li>+4 <a>+2</a></ul></article>""",
+    """<p>-60<article><h1>+12</h1><p>+900<p>+1<ul><li>+30 <a>+12</a><li><a>+8</a> +1<li>+10</ul><p>+20 <a>+70</a></article><p>-45<div><a>-3</a> -1</div>""",
+    """<article><p>+40<ul><li>+2<li><a>+2</a></ul><p>+5<ul><li><a>+3</a><li>+7<li><a>+2</a></ul><h3>+2</h3><ul><li><a>+2</a><li><a>+4</a></ul><p>+3<p>+1</article>""",
+    """<article><p>+1<p>+2<p>+1</article>""", """<article><p>+3<ul><li>+1<li><a>+1</a><li>+3</ul></article>""", """<article><p>+4<p><a>+3</a></article>""", """<article><p>+60<p>+5 <a>+1</a></article>""",
+    """<article><p>+10<p><a>+3</a><p>+5<p><a>+4</a><p>+12<p><a>+2</a><p>+1<ul><li><a>+3</a><li>+4 <a>+2</a></ul></article>""",
     # Boilerplate by its elements, with few links in it.
     """<nav>-40</nav><article><p>+20<p>+1</article><footer>-60</footer>""", """<article><p>+30<form><p>-20<p>-3</form><aside>-50</aside><p>+2<aside><p>-5</aside></article>""",
     """<article><p>+9<footer>-1</footer><p>+8<aside>-14</aside></article>""", """<form><p>-4<p>-6</form><article><h1>+2</h1><aside><h3>-2</h3><p>-30</aside><p>+70</article>""",

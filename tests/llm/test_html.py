@@ -18,7 +18,20 @@ def test_article_without_the_rest():
     <form><label>Mail</label><input name=a><button>Send</button></form></article>
     <section id="comments"><article class="comment"><p>What a nice and long comment by a reader, thanks a lot for it.</p></article></section>
     <aside><p>Side text that is quite long and has no links at all in it.</p></aside><footer>&copy; 2020 Site</footer></body></html>"""
-    assert text(page) == "A & B\n\nOne two three four <five>.\n\nShort.\n\nitem one\n\na > b"
+    assert text(page) == "A & B\n\nOne two three four <five>.\n\nShort.\n\nitem one\n\nrelated link\n\na > b"
+
+
+def test_what_an_article_keeps():
+    """Link items, link cells and formulas are the article's; a name with a word of its own drops nothing."""
+    refs = "<article><p>Some text.</p><h2>References</h2><ol><li><a href=k>Knuth, The Art</a></li><li><a href=l>Lamport, Clocks</a></li></ol></article>"
+    assert text(refs) == "Some text.\n\nReferences\n\nKnuth, The Art\n\nLamport, Clocks"
+    assert text("<article><p>Let <math>x = 1</math> be <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>y=2</annotation></math> given</p></article>") == "Let x = 1 be y=2 given"
+    cells = "<article><table><tr><th>City</th><th>Land</th></tr><tr><td><a href=p>Paris</a></td><td><a href=f>France</a></td></tr></table></article>"
+    assert text(cells) == "City\n\nLand\n\nParis\n\nFrance"
+    named = '<article><p id="comment-on-method">On the method.</p><div class="text related-work"><p>Work that is related.</p></div>{}</article>'
+    assert text(named.format("")) == "On the method.\n\nWork that is related."
+    for gone in ('class="related-posts-list"', 'id="comments"', 'class="adBox"', 'class="x comment-12"', 'class="share-links"', 'class="newsletter-signup box"'):
+        assert text(named.format(f"<div {gone}><p>Not the article's own text, but long enough to be some.</p></div>")) == "On the method.\n\nWork that is related."
 
 
 def test_pages_without_an_article():
@@ -129,7 +142,7 @@ def test_muted_elements_end_with_their_container():
         assert text(f"<article><p>One</p><div><{tag}>x<div>y</div></div><p>Two</p></article>").replace("\n\ny", "") == "One\n\nTwo"
         assert text(f"<article><p>One</p><li><a href=x><{tag}>x</a></li><p>Two</p></article>") == "One\n\nTwo"
         assert text(f"<body><{tag}>x<article><p>One</p></article></body>") == "One"
-    for tag in ("svg", "math"):
+    for tag in ("svg",):
         for start in (f'<{tag} class="i"/>', f"<{tag}/>", f'<{tag} d="a=b" hidden/>'):
             assert text(f"<article><p>One</p>{start}<p>Two</p></article><p>no</p>") == "One\n\nTwo"
         assert text(f"<article><p>One</p><{tag} class=i/><p>Two</p></article>") == "One\n\nTwo"
