@@ -25,6 +25,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def type_of(df: DataFrame, name: str) -> str:
     """A column's type as DDL."""
     return df.schema[name].dataType.simpleString()
@@ -94,7 +99,7 @@ def map_chunks(df: DataFrame, columns: list[str], fn, schema: str | StructType,
                 if out:
                     yield batch_of(out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*[F.col(quoted(c)) for c in columns]).mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, columns: list[str], fn, schema: str | StructType, rows: int = 128, flush: int = 8 << 20) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_table, fresh, map_chunks, materialised, type_of
+from .common import drop_table, fresh, map_chunks, materialised, quoted, type_of
 from .components import components
 
 SIZE = 5
@@ -395,13 +395,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     that repeat id and text count once: the one whose columns have the smallest hash stays.
     """
     ids, k, copies = fresh(docs, "doc_id"), fresh(docs, "k"), fresh(docs, "copies")
+    own = [docs[quoted(c)] for c in docs.columns]
     rows = _placed(docs)
     sized = rows.where("root is not null").groupBy("root", "doc_id", "k").agg(F.count(F.lit(1)).alias("c"))
     first = sized.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "c")).alias("m"))
     kept = first.select(F.col("m.doc_id").alias(ids), F.col("m.k").alias(k), F.col("m.c").alias(copies))
     blank = rows.where("root is null").select(F.col("doc_id").alias(ids), F.col("k").alias(k)).distinct().withColumn(copies, F.lit(1).cast("bigint"))
     met = docs.join(kept.unionByName(blank), docs["doc_id"].eqNullSafe(F.col(ids)) & (F.xxhash64(docs["text"]) == F.col(k)))
-    single = met.where(F.col(copies) == 1).select(*[docs[c] for c in docs.columns])
-    w = W.partitionBy(ids, k).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    single = met.where(F.col(copies) == 1).select(*own)
+    w = W.partitionBy(ids, k).orderBy(F.xxhash64(*own))
     repeated = met.where(F.col(copies) > 1).withColumn(copies, F.row_number().over(w)).where(F.col(copies) == 1)
-    return single.unionByName(repeated.select(*docs.columns))
+    return single.unionByName(repeated.select(*[F.col(quoted(c)) for c in docs.columns]))

@@ -3,8 +3,9 @@
 Base spans come from three patterns. Further spans come from probabilistic automata: strings of labelled credentials form
 a prefix tree over character classes, states whose symbol and stop frequencies are compatible (Hoeffding bound) are
 merged, and the automaton that is left gives any candidate a likelihood. An automaton of ordinary long tokens gives the
-likelihood of the other hypothesis; a candidate whose best log ratio per character exceeds a threshold, and in total another,
-is a secret. Candidates are ASCII runs of any length from the shortest label on and their parts between ``=``, ``/`` and ``.``.
+likelihood of the other hypothesis, together with automata of strings that look random and are harmless (``harmless``); lengths
+have a likelihood of their own. A candidate whose log ratio exceeds a threshold is a secret; the threshold is fitted on harmless
+strings kept from training. Candidates are ASCII runs of any length from the shortest label on and their parts between ``=``, ``/`` and ``.``.
 
 Labels are the base spans in a bounded, documented sample of documents (``SAMPLE_DOCS``, of which ``SAMPLE_STRINGS`` per
 kind are used) and examples generated from published credential formats. The scan itself covers every whole text.
@@ -51,21 +52,32 @@ FORMATS = (
     ("live", "sk_live_", _ALNUM, 24),
     ("maps", "AIza", _ALNUM + "_-", 35),
     ("base64", "", _ALNUM + "+/", 40),
+    ("npm", "npm_", _ALNUM, 36),
+    ("gitlab", "glpat-", _ALNUM + "_-", 20),
+    ("sk", "sk-", _ALNUM, 48),
+    ("vault", "hvs.", _ALNUM + "_-", 24),
+    ("oauth", "ya29.", _ALNUM + "_-", 60),
 )
+#: Prefix and lengths of the three parts of a signed token.
+SIGNED = ("eyJ", (17, 40), (40, 120), (43, 43))
 
 SAMPLE_DOCS = 20_000
 SAMPLE_STRINGS = 400
 ALPHA = 0.05
-#: Nats per character by which a credential automaton must beat the ordinary one.
-THRESHOLD = 1.0
-#: Nats in total by which it must do so: short strings need more per character, as phone numbers and dates are rare in any automaton.
-EVIDENCE = 20.0
+#: How many harmless strings in a thousand, of those kept from training, may be called secrets, and the least log ratio in nats.
+FALSE_PER_MILLE, LEAST = 2, 6.0
+#: One string in so many is kept from training to fit the threshold.
+KEPT = 4
 #: Parts between slashes that are tried together: base64 has slashes of its own.
 PARTS = 4
 #: Scores that a task keeps, and how long their class strings are at most.
 _KNOWN, _KNOWN_LENGTH = 200_000, 64
 _SMOOTH = 0.01
 _SYMBOLS = 16
+#: Longer strings count as equally long; a run of this length that is encoded data as a whole has no candidates inside.
+_LONG = 64
+_BLOB = "encoded"
+_ENCODED = re.compile(r"[A-Za-z0-9+/]{%d,}=*" % _LONG)
 
 _CLASS = {c: "x" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "X" for c in "ABCDEF"}
 _CLASS |= {c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: "d" for c in "0123456789"}
@@ -177,6 +189,35 @@ class Automaton:
         return out
 
 
+def harmless(n: int = SAMPLE_STRINGS, seed: int = 23) -> dict[str, list[str]]:
+    """Made-up strings of kinds that look random and are no secrets."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def some(alphabet: str, low: int, high: int) -> str:
+        return "".join(rng.choices(alphabet, k=rng.randint(low, high)))
+
+    def uuid() -> str:
+        text = "-".join(some("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12))
+        return text.upper() if rng.random() < 0.3 else text
+
+    def identifier() -> str:
+        words = [some(letters, 2, 9) for _ in range(rng.randint(2, 5))]
+        style = rng.randrange(4)
+        if style < 2:
+            return words[0].capitalize() * (style == 1) + words[0] * (style == 0) + "".join(w.capitalize() for w in words[1:]) + str(rng.randrange(100)) * rng.randrange(2)
+        return "_".join(words).upper() if style == 2 else rng.choice("_-.").join(words)
+
+    def encoded() -> str:
+        return some(_ALNUM + "+/", _LONG, 2 * _LONG) + "=" * rng.randrange(3)
+
+    kinds = {
+        "uuid": uuid, "id": lambda: some(_ALNUM + "-_", 6, 16), "number": lambda: some("0123456789", 6, 40), "identifier": identifier, _BLOB: encoded,
+        "version": lambda: ".".join(some("0123456789", 1, 4) for _ in range(rng.randint(3, 5))) + rng.choice(["", "-" + some(letters, 2, 6), "-" + some("0123456789", 3, 8)]),
+    }
+    return {k: [make() for _ in range(n // 4 if k == _BLOB else n)] for k, make in kinds.items()}
+
+
 def log_likelihood(table: dict, symbols: str) -> float:
     """Of a string's symbols; an unseen symbol costs its smoothed probability and leads back to the start."""
     q, total = 0, 0.0
@@ -238,35 +279,85 @@ def labelled_strings(docs: DataFrame) -> dict[str, list[str]]:
         for k in (*KINDS, "ordinary")
     }
     rng = random.Random(17)
-    for name, prefix, alphabet, length in FORMATS:
-        out[name] = [prefix + "".join(rng.choices(alphabet, k=length)) for _ in range(SAMPLE_STRINGS // 4)]
+    return out | published(SAMPLE_STRINGS // 4, rng)
+
+
+def published(n: int, rng: random.Random) -> dict[str, list[str]]:
+    """Made-up credentials of the published formats."""
+
+    def some(alphabet: str, low: int, high: int) -> str:
+        return "".join(rng.choices(alphabet, k=rng.randint(low, high)))
+
+    out = {name: [prefix + some(alphabet, length, length) for _ in range(n)] for name, prefix, alphabet, length in FORMATS}
+    head, *sizes = SIGNED
+    out["signed"] = [".".join(p + some(_ALNUM + "_-", *k) for p, k in zip((head, head, ""), sizes, strict=True)) for _ in range(n // 2)]
     return out
 
 
-def train(strings: dict[str, list[str]]) -> dict[str, dict]:
-    """One automaton table per label that has strings."""
+def _sizes(strings: list[str]) -> list[float]:
+    """Log probabilities of lengths; short ones are known by themselves, long ones together."""
+    n = [_SMOOTH] * (_LONG + 1)
+    for x in strings:
+        n[min(len(x), _LONG)] += 1
+    whole = math.log(sum(n))
+    return [math.log(x) - whole for x in n]
+
+
+def train(strings: dict[str, list[str]]) -> dict:
+    """An automaton and the lengths of each label that has strings, for credentials and for what is none, and the threshold.
+
+    The threshold is fitted on harmless strings that are kept from training: no more than ``FALSE_PER_MILLE`` of them exceed it.
+    """
     # Strings with a published prefix are no ordinary ones, though no base pattern finds them.
-    plain = [s for s in strings.get("ordinary") or [] if not any(p and p in s for _, p, _, _ in FORMATS)]
-    made = {k: Automaton.inferred([classes(s) for s in v]).table() for k, v in strings.items() if v and k != "ordinary"}
+    prefixed = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(re.escape(p) for _, p, _, _ in FORMATS if p) + ")")
+    plain = [x for x in strings.get("ordinary") or [] if not prefixed.search(x)]
     # Plain words and ruled lines exist in any corpus, sampled or not.
-    letters = ["".join(random.Random(i).choices("xllllx", k=12)) for i in range(50)]
+    letters = ["".join(random.Random(i).choices("abcghijkl", k=12)) for i in range(50)]
     ruled = [c * 24 for c in "=-_/+" for _ in range(10)]
     # So do numbers: cards, telephones, dates, addresses of machines.
-    shapes = ["d" * 16, "d" * 10, "ddd-dddd", "ddd-ddd-dddd", "dddd-dd-dd", "ddd.ddd.ddd.ddd", "dd.dd.ddd.ddd", "dddd-dddd-dddd-dddd", "d.dddddd"]
+    shapes = ["9" * 16, "9" * 10, "999-9999", "999-999-9999", "9999-99-99", "999.999.999.999", "99.99.999.999", "9999-9999-9999-9999", "9.999999"]
     numbers = [x for x in shapes for _ in range(5)]
-    capitals = [x.translate({ord("x"): "X", ord("l"): "U"}) for x in letters]
     # And names and paths, of which the signs between words are learned.
-    names = [p for a, b in zip(letters, letters[1:]) for p in (f"{a[:5]}/{b[:3]}/{a[5:]}", f"/{a[:4]}/{b[:6]}", f"{a[:7]}.{b[:3]}", f"UXU_XU={b[:6]}")]
-    return made | {"ordinary": Automaton.inferred([classes(s) for s in plain] + letters + capitals + ruled + numbers + names).table()}
+    names = [p for a, b in zip(letters, letters[1:]) for p in (f"{a[:5]}/{b[:3]}/{a[5:]}", f"/{a[:4]}/{b[:6]}", f"{a[:7]}.{b[:3]}", f"MAX_NO={b[:6]}")]
+    kept, learned = [], {}
+    for label, found in {"ordinary": plain, **harmless()}.items():
+        kept += found[::KEPT]
+        learned[label] = [x for i, x in enumerate(found) if i % KEPT]
+    learned["ordinary"] += letters + [x.upper() for x in letters] + ruled + numbers + names
+
+    def tables(kinds: dict[str, list[str]]) -> dict:
+        return {k: (Automaton.inferred([classes(x) for x in v]).table(), _sizes(v)) for k, v in kinds.items() if v}
+
+    model = {"secret": tables({k: v for k, v in strings.items() if k != "ordinary"}), "harmless": tables(learned), "threshold": 0.0}
+    totals = sorted(score(model, x) for x in kept)
+    model["threshold"] = max(LEAST, totals[-1 - len(totals) * FALSE_PER_MILLE // 1000] + 1e-6)
+    return model
+
 
+def _best(tables: dict, c: str) -> float:
+    return max((log_likelihood(t, c) + sizes[min(len(c), _LONG)] for t, sizes in tables.values()), default=-math.inf)
 
-def score(model: dict[str, dict], s: str) -> float:
-    """Best log ratio per character of the credential automata against the ordinary one."""
+
+def score(model: dict, s: str) -> float:
+    """Log ratio of the best credential automaton and length against the best harmless ones."""
     return _score(model, classes(s))
 
 
-def _score(model: dict[str, dict], c: str) -> float:
-    return max((log_likelihood(t, c) for k, t in model.items() if k != "ordinary"), default=-math.inf) / len(c) - log_likelihood(model["ordinary"], c) / len(c)
+def _score(model: dict, c: str) -> float:
+    return _best(model["secret"], c) - _best(model["harmless"], c)
+
+
+def accepted(model: dict, s: str) -> bool:
+    return score(model, s) > model["threshold"]
+
+
+def _is_blob(model: dict, run: str, c: str) -> bool:
+    """Whether a long run, of symbols c, is encoded data as a whole: then pieces of it look like keys by chance only."""
+    if not _ENCODED.fullmatch(run):
+        return False
+    one = {_BLOB: model["harmless"][_BLOB]}
+    rest = {k: v for k, v in model["harmless"].items() if k != _BLOB}
+    return _best(one, c) > max(_best(rest, c), _best(model["secret"], c))
 
 
 def candidates(run: str) -> set[tuple[int, int]]:
@@ -284,7 +375,7 @@ def candidates(run: str) -> set[tuple[int, int]]:
     return {(s, e) for s, e in out if e - s >= ASSIGN_LENGTH}
 
 
-def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, int]], known: dict[str, float]) -> list[tuple[int, int, int]]:
+def format_spans(model: dict, text: str, base: list[tuple[int, int, int]], known: dict[str, float]) -> list[tuple[int, int, int]]:
     """The candidates that the automata accept and no base span touches; of those that overlap, the one whose log ratio exceeds
     the threshold by most in total. ``known`` keeps that excess by class string."""
     out = []
@@ -295,6 +386,8 @@ def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, i
         word = symbols.strip(".")
         if not _SEPARATOR.search(word) and known.get(word, math.inf) <= 0:
             continue
+        if _is_blob(model, run, symbols):
+            continue
         good = []
         for s, e in candidates(run):
             c = symbols[s:e]
@@ -302,8 +395,7 @@ def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, i
             if excess is None:
                 if len(known) >= _KNOWN:
                     known.clear()
-                ratio = _score(model, c)
-                excess = (ratio - THRESHOLD) * len(c) if ratio > THRESHOLD and ratio * len(c) > EVIDENCE else 0.0
+                excess = max(0.0, _score(model, c) - model["threshold"])
                 if len(c) <= _KNOWN_LENGTH:
                     known[c] = excess
             if excess > 0:
@@ -319,7 +411,7 @@ def format_spans(model: dict[str, dict], text: str, base: list[tuple[int, int, i
     return out
 
 
-def all_spans(model: dict[str, dict], text: str, known: dict[str, float] | None = None) -> list[tuple[int, int, int]]:
+def all_spans(model: dict, text: str, known: dict[str, float] | None = None) -> list[tuple[int, int, int]]:
     """Base spans, and those of the automata (kind 3, ``format``)."""
     base = base_spans(text)
     return sorted(base + format_spans(model, text, base, {} if known is None else known))
@@ -329,11 +421,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{(*KINDS, 'format')[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def likely(model: dict[str, dict], text: str, base: list[tuple[int, int, int]]) -> int:
+def likely(model: dict, text: str, base: list[tuple[int, int, int]]) -> int:
     """How many base spans hold strings that the automata accept too."""
     strings = [ASSIGN.match(text, s).group(1) if k == 0 else text[s:e] for s, k, e in base]
-    scores = [(score(model, x), len(x)) for x in strings]
-    return sum(r > THRESHOLD and r * n > EVIDENCE for r, n in scores)
+    return sum(accepted(model, x) for x in strings)
 
 
 def scan(docs: DataFrame) -> DataFrame:
