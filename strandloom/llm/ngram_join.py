@@ -57,6 +57,8 @@ MAX_COMMON = 1 << 20
 MAX_MATCHES, VERIFY = 12, 4
 #: Bits of a set's parity filter, by the set's size between these powers of two.
 BITS, MOST_BITS = 256, 2048
+#: The same of the filter that a pair passes before it is verified, with so many bits for each shingle.
+FINE, MOST_FINE = 4, 16_384
 #: Classes under one shingle beyond which their postings carry these bits.
 FEW = 8
 #: Size bands for each factor 1.25, the most by which the sizes of sets that link differ. A row asks one band more than that.
@@ -139,13 +141,13 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return order[: base + best], len(rare), best + 1
 
 
-def parity_bits(s: np.ndarray) -> np.ndarray:
+def parity_bits(s: np.ndarray, each: int = 1, most: int = MOST_BITS) -> np.ndarray:
     """A set's shingles hashed to bits, each bit the parity of those that meet in it, as 64-bit words.
 
     Sets whose bits differ in h places have h different shingles or more, hence |a| + |b| - 2 |a & b| >= h: a bound that
-    drops no pair wrongly. There are two bits or more for each shingle, a power of two in all, BITS at least and MOST_BITS at most.
+    drops no pair wrongly. There are ``each`` bits or more for each shingle, a power of two in all, BITS at least and ``most`` at most.
     """
-    size = min(max(BITS, 2 << (len(s) - 1).bit_length()), MOST_BITS)
+    size = min(max(BITS, each << (len(s) - 1).bit_length()), most)
     odd = np.bincount((s >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -263,14 +265,17 @@ def _pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
+def _may_link(size: Column, differ: Column) -> Column:
+    """Whether two sets of these sizes together may link if their parity bits differ in so many places."""
+    return (size - differ) * (SHARED_PARTS + UNION_PARTS) >= size * 2 * UNION_PARTS
+
+
 def _band(n: Column) -> Column:
     return F.floor(F.log(n) * (BANDS / math.log(SHARED_PARTS / UNION_PARTS)) + 1e-6).cast("int")
 
 
 def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b, h``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
-
-    h is the number of places in which their parity bits differ, 0 where a shingle has few classes.
+    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
 
     Of alpha shingles that two sets share with l matches asked, l lie where ``n - i - 1 + l >= alpha`` holds on both sides; as
     alpha grows with both sizes, this bounds a partner's size by ``most``. The larger set waits in its band, the smaller one
@@ -283,7 +288,7 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
     matches = F.least("matches_a", "matches_b")
     size = F.col("n_a") + F.col("n_b")
 
-    def met(rows: DataFrame, names: tuple[str, ...], near: Column, h: Column) -> DataFrame:
+    def met(rows: DataFrame, names: tuple[str, ...], near: Column) -> DataFrame:
         x = rows.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
         bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
         y = rows.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
@@ -292,13 +297,13 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
         both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
         enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
         pairs = x.join(y, ["t", "band"]).where(sizes & (F.col("root_a") != F.col("root_b")) & enough & near)
-        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"), h.alias("h"))
+        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"))
 
-    few = met(left.where(F.col("g") <= FEW), names, F.lit(True), F.lit(0))
-    near = (size - apart("bits_a", "bits_b")) * (SHARED_PARTS + UNION_PARTS) >= size * 2 * UNION_PARTS
-    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), near, apart("bits_a", "bits_b"))
-    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"), F.max("h").alias("h"))
-    out = materialised(pairs.where("c >= l").select("a", "b", "h"))
+    few = met(left.where(F.col("g") <= FEW), names, F.lit(True))
+    near = _may_link(size, apart("bits_a", "bits_b"))
+    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), near)
+    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
+    out = materialised(pairs.where("c >= l").select("a", "b"))
     drop_table(left)
     return out
 
@@ -321,6 +326,24 @@ def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
     return new
 
 
+def _fine(pairs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, h, and the store of their classes)``: the pairs that longer parity bits, h of which differ, let through."""
+
+    def mark(cls, names, zs):
+        unzip = zstandard.ZstdDecompressor()
+        for c, name, z, s in zip(cls, names, zs, shingle_sets([unzip.decompress(z) for z in zs]), strict=True):
+            yield c, name, z, len(s), parity_bits(s, FINE, MOST_FINE)
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    schema = "cls bigint, name binary, z binary, n bigint, bits array<bigint>"
+    near = materialised(map_chunks(store.join(wanted, "cls", "left_semi"), ["cls", "name", "z"], mark, schema, rows=CHUNK))
+    a, b = (near.select(F.col("cls").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    met = pairs.join(a, pairs["a"] == a["c_a"]).join(b, pairs["b"] == b["c_b"])
+    h = apart("bits_a", "bits_b")
+    out = materialised(met.where(_may_link(F.col("n_a") + F.col("n_b"), h)).select("a", "b", h.alias("h")))
+    return out, near.select("cls", "name", "z")
+
+
 def _rounds(pairs: DataFrame, state: DataFrame, store: DataFrame) -> DataFrame:
     """``cls, root`` when no pair (a, b, h) of different components is left that was not verified.
 
@@ -366,9 +389,11 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = shared.join(state, "cls").select(*shared.columns, "root")
     again = _candidates(member, reps)
     drop_table(shared)
-    state = _rounds(again, state, store)
+    pairs, near = _fine(again, store)
+    drop_table(store)
+    state = _rounds(pairs, state, near)
     named = materialised(reps.join(state, "cls").select("name", "root"))
-    for t in (best, reps, links, store, state):
+    for t in (best, again, reps, links, near, state):
         drop_table(t)
     return rows, named
 
