@@ -99,7 +99,9 @@ def map_chunks(df: DataFrame, columns: list[str], fn, schema: str | StructType,
                 if out:
                     yield batch_of(out)
 
-    return df.select(*[F.col(quoted(c)) for c in columns]).mapInArrow(run, schema)
+    # ``mapInArrow`` resolves its columns by unquoted names.
+    plain = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    return plain.mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, columns: list[str], fn, schema: str | StructType, rows: int = 128, flush: int = 8 << 20) -> DataFrame:
