@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.count import count_kmers, merge_counts, nonzero, sort_kmers
+from ..operators.count import merge_counts, nonzero, sort_kmers
+from ..operators.packed import count_packed, unpacked
+from ..operators.runs import sort_packed
 from ..sources.fastq import read_fastq
-from ..sources.kmer_file import print_lines, read_kmer_file, write_kmer_file
+from ..sources.kmer_file import is_sorted, merge_sorted, print_lines, read_kmer_file, write_kmer_file, write_words
 
 
 @dataclass(frozen=True)
@@ -25,20 +27,31 @@ class Options:
     pad: bool = False
 
 
+def _merged(spark: SparkSession, paths: list[str], o: Options) -> DataFrame:
+    """Sorted folders by their slices, without a shuffle; others by an aggregation."""
+    if all(is_sorted(p) for p in paths):
+        return nonzero(merge_sorted(spark, paths, o.k))
+    counts = nonzero(merge_counts(*[read_kmer_file(spark, p, o.k) for p in paths]))
+    return sort_kmers(counts) if o.ordered else counts
+
+
 def run(spark: SparkSession, o: Options) -> None:
     """Count a FASTQ folder, merge packed folders (comma-separated), or print a packed folder as text."""
     if o.mode == "print":
         print_lines(read_kmer_file(spark, o.source, o.k), o.k, o.pad).write.mode("overwrite").text(o.target)
-        return
-    if o.mode == "merge":
-        counts = nonzero(merge_counts(*[read_kmer_file(spark, p, o.k) for p in o.source.split(",")]))
-    else:
-        counts = count_kmers(read_fastq(spark, o.source), "seq", o.k)
-    counts = sort_kmers(counts) if o.ordered else counts
-    if o.form == "packed":
-        write_kmer_file(counts, o.target, o.k)
+    elif o.mode == "merge":
+        counts = _merged(spark, o.source.split(","), o)
+        if o.form == "packed":
+            write_kmer_file(counts, o.target, o.k)
+        else:
+            counts.write.mode("overwrite").parquet(o.target)
     else:
-        counts.write.mode("overwrite").parquet(o.target)
+        counts = count_packed(read_fastq(spark, o.source), "seq", o.k)
+        counts = sort_packed(counts, o.k) if o.ordered else counts
+        if o.form == "packed":
+            write_words(counts, o.target, o.k)
+        else:
+            unpacked(counts, o.k).write.mode("overwrite").parquet(o.target)
 
 
 def parse(argv: list[str] | None = None) -> Options:

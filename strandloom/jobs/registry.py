@@ -24,6 +24,7 @@ from ..sources.fastq import read_fastq, read_lengths
 from ..sources.folders import shared_folder
 from ..sources.kmer_file import merge_sorted, numbered_kmer_file, print_lines, read_kmer_file, write_kmer_file, write_words
 from ..streaming.count_stream import run_available
+from . import kmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -250,6 +251,15 @@ def packed_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(firsts, "file").select("kmer", "cnt", "rank", (F.col("record") == F.col("rank") - F.col("first")).alias("agrees"))
 
 
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's modes in turn: count a FASTQ folder, merge its counts with themselves, print them."""
+    once, twice, text = (_scratch(spark) for _ in range(3))
+    for argv in (["count", _fastq(spark, sf_dir), once], ["merge", f"{once},{once}", twice], ["print", twice, text]):
+        form = [] if argv[0] == "print" else ["--form", "packed", "--ordered"]
+        kmers.run(spark, kmers.parse([*argv, "-k", "5", *form]))
+    return spark.read.text(text).select(F.col("value").alias("line"))
+
+
 def distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of two halves of the reads, merged; whether their estimate is within four standard errors of the exact number."""
     reads = short_reads(spark, sf_dir)
@@ -291,22 +301,24 @@ QUERIES: dict[str, Query] = {
         reads_projection, base_validity, valid_runs, kmer_positions, encode_words, decode_words, print_padded, print_trimmed,
         record_bounds, reduce_adjacent, distinct_kmers, sorted_kmers, merge_counts, nonzero_filter, kmer_file_roundtrip,
         fastq_roundtrip, merge_packed, sorted_packed, stream_count, reduce_sorted, merge_sorted_packed, lookup_packed, packed_by_file,
-        distinct_sketch, sql_windows,
+        distinct_sketch, sql_windows, command_line,
     )
 }
-_PACKED_KS = {k: (short_reads, SHORT_SQL) for k in (5, 31, 32)} | {k: (long_reads, LONG_SQL) for k in (33, 64, 128)}
-QUERIES |= {f"kmer_count_packed_k{k}": partial(_count_packed, reads, k) for k, (reads, _) in _PACKED_KS.items()}
+_PACKED_KS = {f"k{k}": (short_reads, SHORT_SQL, k) for k in (5, 31, 32)} | {f"k{k}": (long_reads, LONG_SQL, k) for k in (33, 64, 128)}
+_PACKED_KS["documents_k4"] = (text_reads, TEXT_SQL, 4)
+QUERIES |= {f"kmer_count_packed_{name}": partial(_count_packed, reads, k) for name, (reads, _, k) in _PACKED_KS.items()}
 QUERIES["read_lengths"] = lengths_of_reads
 QUERIES |= {name: partial(_count, reads, k) for name, (reads, _, k) in _KS.items()}
 
 ORACLE_SQL: dict[str, str] = {name: _count_sql(sql, k) for name, (_, sql, k) in _KS.items()}
-ORACLE_SQL |= {f"kmer_count_packed_k{k}": _count_sql(sql, k) for k, (_, sql) in _PACKED_KS.items()}
+ORACLE_SQL |= {f"kmer_count_packed_{name}": _count_sql(sql, k) for name, (_, sql, k) in _PACKED_KS.items()}
 ORACLE_SQL |= {
     "reduce_sorted": _count_sql(SHORT_SQL, 5),
     "merge_sorted_packed": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank FROM ({_count_sql(LONG_SQL, 9)})",
     "lookup_packed": f"SELECT * FROM ({_count_sql(LONG_SQL, 40)}) WHERE kmer >= 'ACG' AND kmer < 'ACT'",
     "distinct_sketch": f"SELECT count(*) AS n_distinct, CAST(sum(cnt) AS BIGINT) AS n_total, TRUE AS same_total, TRUE AS close FROM ({_count_sql(SHORT_SQL, 7)})",
     "sql_windows": _count_sql(SHORT_SQL, 5),
+    "command_line": f"SELECT kmer || ' ' || (2 * cnt) AS line FROM ({_count_sql(SHORT_SQL, 5)})",
     "packed_by_file": f"SELECT kmer, cnt, row_number() OVER (ORDER BY kmer) AS rank, TRUE AS agrees FROM ({_count_sql(SHORT_SQL, 5)})",
     "reads_projection": f"SELECT read_id, seq, CAST(length(seq) AS BIGINT) AS n_bases FROM ({SHORT_SQL})",
     "base_validity": "SELECT read_id, CAST(length(regexp_replace(seq, '[^ACGT]+', '', 'g')) AS BIGINT) AS n_valid, "

@@ -334,6 +334,14 @@ def numbered_kmer_file(spark: SparkSession, path: str, k: int) -> DataFrame:
     return read_kmer_file(spark, path, k, places=True).select("kmer", "cnt", "rank")
 
 
+def is_sorted(path: str) -> bool:
+    """Whether a folder was written here, each of its parts ascends, and no part begins before the one before it ends."""
+    if not opens(path):
+        return False
+    parts = [p for p in pf.parts_of(*open_at(path)) or [] if p.records]
+    return bool(parts) and all(p.sorted for p in parts) and all(a.last <= b.first for a, b in zip(parts, parts[1:]))
+
+
 def merge_sorted(spark: SparkSession, paths: list[str], k: int, **options) -> DataFrame:
     """The summed counts of sorted folders, in order; no record is shuffled."""
     register(spark)

@@ -76,6 +76,13 @@ def test_merge_sorted(spark, tmp_path, k):
     assert "Exchange" not in merged._jdf.queryExecution().toString()
 
 
+def test_is_sorted(spark, tmp_path):
+    at = folder(spark, tmp_path, "s", reads_of(1, (900,), "ACGT"), 5)
+    assert K.is_sorted(at) and not K.is_sorted(f"file://{tmp_path}") and not K.is_sorted("viewfs://x/y")
+    K.write_kmer_file(spark.createDataFrame([("AAAAA", 1)], "kmer string, cnt long"), at, 5, mode="append")
+    assert not K.is_sorted(at)
+
+
 def test_merge_needs_sorted_folders(spark, tmp_path):
     K.write_kmer_file(spark.createDataFrame([("T", 1), ("A", 1)], "kmer string, cnt long").coalesce(1), f"file://{tmp_path}/x", 1)
     with pytest.raises(Exception, match="sorted parts"):
