@@ -4,7 +4,7 @@ The files have no header; k is an option. ``kmer_file`` reads and writes folders
 folders as one sorted, summed table. Both plan byte ranges and move Arrow batches; on file systems that only Spark opens,
 records are read by its fixed-length input.
 
-A written folder has a list of its parts, replaced in one step when a job commits. Readers go by the list, so they see the
+A written folder has a list of its parts; a job commits by putting the next list in place, in one step. Readers go by the list, so they see the
 folder before the job or after it, never between: what failed or repeated tasks have left is in no list. Beside each part lies
 an index, the first key of each block of records; sorted parts are searched through it. Folders without a list (from
 elsewhere) are read file by file.
@@ -90,10 +90,13 @@ class _RecordWriter(DataSourceArrowWriter):
             for name in (p.name, f"{pf.INDEX}/{p.name}"):
                 fs.move(f"{self._job(at)}/{name}", f"{at}/{name}")
         # Parts are in place but unlisted; this step makes them the folder's, and only then old ones go.
-        listed = f"{self._job(at)}/{pf.PARTS}"
-        with fs.open_output_stream(listed) as out:
+        before = pf.lists(fs, at)
+        name = pf.next_list(before)
+        with fs.open_output_stream(f"{self._job(at)}/{name}") as out:
             out.write(pf.to_json(new if self.overwrite else old + new))
-        fs.move(listed, f"{at}/{pf.PARTS}")
+        fs.move(f"{self._job(at)}/{name}", f"{at}/{name}")
+        for path in before:
+            fs.delete_file(path)
         for p in old if self.overwrite else ():
             for name in (p.name, f"{pf.INDEX}/{p.name}"):
                 if fs.get_file_info(f"{at}/{name}").type == pafs.FileType.File:

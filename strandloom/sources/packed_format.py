@@ -14,8 +14,8 @@ from ..functions import codec
 
 #: Records of a block; the index holds the first key of each.
 BLOCK = 4096
-#: What a folder's parts are, written last; readers go by it. Index files lie in their own folder.
-PARTS, INDEX = "_parts.json", "_index"
+#: What a folder's parts are, written last; readers go by the list of the highest number. Index files lie in their own folder.
+PARTS, INDEX = "_parts-", "_index"
 _LETTERS = np.array([[ord(codec.BASES[b >> s & 3]) for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
 
 Key = tuple[int, ...]
@@ -105,12 +105,26 @@ def to_json(parts: list[Part]) -> bytes:
     return json.dumps([asdict(p) for p in parts]).encode()
 
 
+def lists(fs: pafs.FileSystem, folder: str) -> list[str]:
+    """The lists of a folder, the current one last."""
+    if fs.get_file_info(folder).type != pafs.FileType.Directory:
+        return []
+    found = fs.get_file_info(pafs.FileSelector(folder))
+    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.base_name.startswith(PARTS))
+
+
+def next_list(lists: list[str]) -> str:
+    """The name of the list that follows these. Lists are never overwritten: not every file system does that in one step."""
+    n = int(lists[-1].rsplit("-", 1)[1].split(".")[0]) + 1 if lists else 0
+    return f"{PARTS}{n:09d}.json"
+
+
 def parts_of(fs: pafs.FileSystem, folder: str) -> list[Part] | None:
-    """What the folder's list says, or None if it has none."""
-    at = f"{folder}/{PARTS}"
-    if fs.get_file_info(at).type != pafs.FileType.File:
+    """What the folder's current list says, or None if it has none."""
+    listed = lists(fs, folder)
+    if not listed:
         return None
-    with fs.open_input_stream(at) as f:
+    with fs.open_input_stream(listed[-1]) as f:
         found = json.loads(f.read())
     return [Part(p["name"], p["records"], p["sorted"], *(tuple(p[x]) if p[x] is not None else None for x in ("first", "last"))) for p in found]
 

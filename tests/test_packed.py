@@ -129,6 +129,12 @@ def test_places(spark, tmp_path):
     assert len(by) == 3 and all(v == list(range(len(v))) for v in by.values())
 
 
+def listed(folder):
+    """The one list of a folder."""
+    (found,) = folder.glob(pf.PARTS + "*")
+    return found
+
+
 def test_job_that_fails_leaves_the_folder(spark, tmp_path):
     df = spark.createDataFrame([(x, 1) for x in ("AC", "CG", "GT")], "kmer string, cnt long")
     at = f"file://{tmp_path}/f"
@@ -142,7 +148,7 @@ def test_job_that_fails_leaves_the_folder(spark, tmp_path):
     assert sorted(r["kmer"] for r in K.read_kmer_file(spark, at, 2).collect()) == ["AC", "AC", "CG", "GT"]
     K.write_kmer_file(df.limit(1), at, 2)
     assert counted(K.read_kmer_file(spark, at, 2)) == {"AC": 1}
-    assert len(list((tmp_path / "f").glob("part-*"))) == len(json.loads((tmp_path / "f" / pf.PARTS).read_text()))
+    assert len(list((tmp_path / "f").glob("part-*"))) == len(json.loads(listed(tmp_path / "f").read_text()))
 
 
 def test_commit_that_crashes_shows_the_old_folder(spark, tmp_path):
@@ -150,12 +156,15 @@ def test_commit_that_crashes_shows_the_old_folder(spark, tmp_path):
     df = spark.createDataFrame([("AC", 1)], "kmer string, cnt long")
     at = tmp_path / "f"
     K.write_kmer_file(df, f"file://{at}", 2)
-    old = (at / pf.PARTS).read_text()
+    old = listed(at)
     (at / "part-0000000-unlisted.kmers").write_bytes(bytes(12))
     assert counted(K.read_kmer_file(spark, f"file://{at}", 2)) == {"AC": 1}
     K.write_kmer_file(spark.createDataFrame([("GG", 3)], "kmer string, cnt long"), f"file://{at}", 2)
     assert counted(K.read_kmer_file(spark, f"file://{at}", 2)) == {"GG": 3}
-    assert (at / pf.PARTS).read_text() != old
+    assert listed(at).name > old.name and not old.exists()
+    # An old list that is not deleted yet counts no more.
+    (at / old.name).write_text("[]")
+    assert counted(K.read_kmer_file(spark, f"file://{at}", 2)) == {"GG": 3}
 
 
 def test_foreign_folder_and_file(spark, tmp_path):
