@@ -42,9 +42,9 @@ def test_uniform(spark):
     """Each record reaches each shard about equally often, and neighbours are parted."""
     df = docs(spark, [(i, "same text") for i in range(800)], extra=False)
     seen = Counter()
-    for seed in range(0, 50, 10):
+    for seed in (0, 10, 20):
         seen.update((r["doc_id"] // 200, r["shard"]) for r in S.shuffled(df, 4, seed=seed, bucket_bytes=4000).collect())
-    assert all(abs(seen[g, s] - 5 * 50) < 75 for g in range(4) for s in range(4))
+    assert all(abs(seen[g, s] - 3 * 50) < 60 for g in range(4) for s in range(4))
 
 
 def test_copies_scatter(spark):
