@@ -20,8 +20,9 @@ occur ``LOCAL`` times in a run; the sums rank them. The order affects cost only,
 shingles is bounded by ``MAX_COMMON`` and sent to all tasks. A rare shingle makes up at most LOCAL / RUN or 1 / MAX_COMMON
 of all shingles, so the windows over rare shingles have no hot partition.
 
-Texts are compressed once and written for the classes that share prefix shingles; nothing else is broadcast. Class names are 128-bit, shingles are compared as 64-bit hashes; tables of the join carry a number in place of
-the name, and each is deleted once nothing reads it.
+Texts are compressed once and written for the classes that share prefix shingles; besides, tables of ``SENT`` rows of numbers
+at most are broadcast in rounds, larger ones are shuffled. Class names are 128-bit, shingles are compared as 64-bit hashes; tables of
+the join carry a number in place of the name, and each is deleted once nothing reads it.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components; rows with equal ids are
 separate rows; a null id is no candidate for the smallest id, and a component of null ids only has a null id; ids may have
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import drop_table, fresh, map_chunks, materialised, quoted, type_of
+from .common import drop_table, fresh, is_small, map_chunks, materialised, quoted, type_of
 from .components import components
 
 SIZE = 5
@@ -59,6 +61,8 @@ MAX_MATCHES, VERIFY = 12, 4
 BITS, MOST_BITS = 256, 2048
 #: The same of the filter that a pair passes before it is verified, with so many bits for each shingle.
 FINE, MOST_FINE = 4, 16_384
+#: Rows of two or three numbers that a round sends to all tasks at most; larger tables are shuffled.
+SENT = 1 << 18
 #: Classes under one shingle beyond which their postings carry these bits.
 FEW = 8
 #: Size bands for each factor 1.25, the most by which the sizes of sets that link differ. A row asks one band more than that.
@@ -275,7 +279,9 @@ def _band(n: Column) -> Column:
 
 
 def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
+    """``a, b, h``: pairs of different components that share enough prefix shingles, from ``t, cls, n, matches, i, root``.
+
+    h is the number of places in which their parity bits differ, 0 where a shingle has few classes.
 
     Of alpha shingles that two sets share with l matches asked, l lie where ``n - i - 1 + l >= alpha`` holds on both sides; as
     alpha grows with both sizes, this bounds a partner's size by ``most``. The larger set waits in its band, the smaller one
@@ -288,7 +294,7 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
     matches = F.least("matches_a", "matches_b")
     size = F.col("n_a") + F.col("n_b")
 
-    def met(rows: DataFrame, names: tuple[str, ...], near: Column) -> DataFrame:
+    def met(rows: DataFrame, names: tuple[str, ...], near: Column, h: Column) -> DataFrame:
         x = rows.select("t", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_a") for c in names])
         bands = F.explode(F.sequence(_band(F.col("n")), _band(F.col("most"))))
         y = rows.where("most >= n").select("t", bands.alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
@@ -297,13 +303,13 @@ def _candidates(member: DataFrame, reps: DataFrame) -> DataFrame:
         both = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 + matches
         enough = both * (SHARED_PARTS + UNION_PARTS) >= size * UNION_PARTS
         pairs = x.join(y, ["t", "band"]).where(sizes & (F.col("root_a") != F.col("root_b")) & enough & near)
-        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"))
+        return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), matches.alias("l"), h.alias("h"))
 
-    few = met(left.where(F.col("g") <= FEW), names, F.lit(True))
-    near = _may_link(size, apart("bits_a", "bits_b"))
-    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), near)
-    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"))
-    out = materialised(pairs.where("c >= l").select("a", "b"))
+    few = met(left.where(F.col("g") <= FEW), names, F.lit(True), F.lit(0))
+    h = apart("bits_a", "bits_b")
+    many = met(left.where(F.col("g") > FEW).join(reps.select("cls", "bits"), "cls"), (*names, "bits"), _may_link(size, h), h)
+    pairs = few.unionByName(many).groupBy("a", "b", "l").agg(F.count(F.lit(1)).alias("c"), F.max("h").alias("h"))
+    out = materialised(pairs.where("c >= l").select("a", "b", "h"))
     drop_table(left)
     return out
 
@@ -315,19 +321,36 @@ def _classes(full: DataFrame) -> DataFrame:
     return named.withColumn("cls", F.monotonically_increasing_id())
 
 
-def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
-    """``cls, root`` with the components that new links join."""
-    a, b = (state.select(F.col("cls").alias(f"c_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
-    edges = links.join(a, links["a"] == a["c_a"]).join(b, links["b"] == b["c_b"]).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+def _sent(df: DataFrame) -> DataFrame:
+    """A table for the small side of a join: sent to all tasks if it has no more than ``SENT`` rows, else shuffled."""
+    return F.broadcast(df) if is_small(df, SENT) else df
+
+
+def _joined(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cls, root`` with the components of the roots that edges (a, b) join."""
     more = components(edges).withColumnRenamed("root", "joined")
     new = materialised(state.join(more, state["root"] == more["node"], "left").select("cls", F.coalesce("joined", "root").alias("root")))
     drop_table(more)
-    drop_table(state)
     return new
 
 
-def _fine(pairs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(a, b, h, and the store of their classes)``: the pairs that longer parity bits, h of which differ, let through."""
+def _rooted(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the roots of both sides, ``r_a`` and ``r_b``."""
+    for x in "ab":
+        side = _sent(state.select(F.col("cls").alias(f"c_{x}"), F.col("root").alias(f"r_{x}")))
+        pairs = pairs.join(side, F.col(x) == F.col(f"c_{x}")).drop(f"c_{x}")
+    return pairs
+
+
+def _fine(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """The pairs (a, b) that longer parity bits let through."""
+    for x in "ab":
+        pairs = pairs.join(store.select(F.col("cls").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), F.col(x) == F.col(f"c_{x}"))
+    return pairs.where(_may_link(F.col("n_a") + F.col("n_b"), apart("bits_a", "bits_b"))).select("a", "b")
+
+
+def _near(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """``cls, name, z, n, bits`` of the classes in pairs (a, b), with longer parity bits."""
 
     def mark(cls, names, zs):
         unzip = zstandard.ZstdDecompressor()
@@ -336,38 +359,39 @@ def _fine(pairs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     schema = "cls bigint, name binary, z binary, n bigint, bits array<bigint>"
-    near = materialised(map_chunks(store.join(wanted, "cls", "left_semi"), ["cls", "name", "z"], mark, schema, rows=CHUNK))
-    a, b = (near.select(F.col("cls").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    met = pairs.join(a, pairs["a"] == a["c_a"]).join(b, pairs["b"] == b["c_b"])
-    h = apart("bits_a", "bits_b")
-    out = materialised(met.where(_may_link(F.col("n_a") + F.col("n_b"), h)).select("a", "b", h.alias("h")))
-    return out, near.select("cls", "name", "z")
+    return materialised(map_chunks(store.join(wanted, "cls", "left_semi"), ["cls", "name", "z"], mark, schema, rows=CHUNK))
 
 
-def _rounds(pairs: DataFrame, state: DataFrame, store: DataFrame) -> DataFrame:
-    """``cls, root`` when no pair (a, b, h) of different components is left that was not verified.
+def _rounds(pairs: DataFrame, state: DataFrame, store: DataFrame) -> list[DataFrame]:
+    """Edges between roots (a, b) after which no pair (a, b, h) of different components is left that was not tried.
 
-    A round verifies, for each class, its likeliest open pair: that whose bits differ least. What it joins closes other pairs,
-    which are dropped; so of a group of near copies that are joined in the end, about as many pairs move as it has members,
-    not all of them. Each round takes four times as many pairs a class as the one before, so rounds are few where all fail.
+    A round tries, for each class, its likeliest open pair: that whose bits differ least. What it joins closes other pairs, which
+    are dropped; so of a group of near copies that are joined in the end, about as many pairs move as it has members, not all of
+    them. Each round takes four times as many pairs a class as the one before, so rounds are few where all fail. Only the state
+    of classes in pairs takes part.
     """
-    slots = 1
+    near, slots, found = _near(pairs, store), 1, []
+    state = materialised(state.join(near.select("cls"), "cls", "left_semi"))
     while True:
-        a, b = (state.select(F.col("cls").alias(f"c_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
-        met = pairs.join(a, pairs["a"] == a["c_a"]).join(b, pairs["b"] == b["c_b"])
-        apart_ = materialised(met.where("r_a <> r_b").select("a", "b", "h"))
-        if apart_.isEmpty():
-            drop_table(apart_)
-            return state
-        tried = apart_.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("h", "b")).alias("m"))
+        open_ = materialised(_rooted(pairs, state).where("r_a <> r_b").select("a", "b", "h"))
+        drop_table(pairs)
+        if open_.isEmpty():
+            for t in (open_, near, state):
+                drop_table(t)
+            return found
+        tried = open_.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("h", "b")).alias("m"))
         tried = materialised(tried.select("a", F.col("m.b").alias("b")))
-        links = _linked(tried, store)
-        rest = materialised(apart_.join(tried, ["a", "b"], "left_anti"))
+        likely = materialised(_fine(tried, near))
+        links = _linked(likely, near)
+        did = _sent(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")))
+        pairs = materialised(open_.join(did, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"))
         if not links.isEmpty():
-            state = _joined(state, links)
-        for t in (links, tried, apart_, pairs):
+            found.append(materialised(_rooted(links, state).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))))
+            old, state = state, _joined(state, found[-1])
+            drop_table(old)
+        for t in (links, likely, tried, open_):
             drop_table(t)
-        pairs, slots = rest, slots * 4
+        slots *= 4
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -383,17 +407,17 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     best = _pivots(shared, reps)
     links = _linked(best, store)
-    state = _joined(materialised(reps.select("cls", F.col("cls").alias("root"))), links)
+    alone = materialised(reps.select("cls", F.col("cls").alias("root")))
+    state = _joined(alone, links)
 
     # What is left: pairs of different components.
     member = shared.join(state, "cls").select(*shared.columns, "root")
     again = _candidates(member, reps)
     drop_table(shared)
-    pairs, near = _fine(again, store)
-    drop_table(store)
-    state = _rounds(pairs, state, near)
-    named = materialised(reps.join(state, "cls").select("name", "root"))
-    for t in (best, again, reps, links, near, state):
+    edges = _rounds(again, state, store)
+    final = _joined(state, reduce(DataFrame.unionByName, edges)) if edges else state
+    named = materialised(reps.join(final, "cls").select("name", "root"))
+    for t in (best, reps, links, store, alone, state, *edges):
         drop_table(t)
     return rows, named
 
