@@ -20,7 +20,7 @@ occur ``LOCAL`` times in a run; the sums rank them. The order affects cost only,
 shingles is bounded by ``MAX_COMMON`` and sent to all tasks. A rare shingle makes up at most LOCAL / RUN or 1 / MAX_COMMON
 of all shingles, so the windows over rare shingles have no hot partition.
 
-Texts are compressed once and written for the classes that share prefix shingles; besides, tables of ``SENT`` rows of numbers
+Texts are compressed before they move, once for pivots and once for the classes of open pairs; besides, tables of ``SENT`` rows of numbers
 at most are broadcast in rounds, larger ones are shuffled. Class names are 128-bit, shingles are compared as 64-bit hashes; tables of
 the join carry a number in place of the name, and each is deleted once nothing reads it.
 
@@ -191,9 +191,9 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return map_chunks(_named(docs), ["doc_id", "k", "text"], chunk, schema, rows=CHUNK)
 
 
-def _store(docs: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame:
-    """``cls, name, z``: the compressed text of each class that shares prefix shingles, from one scan of the texts."""
-    ask = reps.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "name", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k"))
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (cls and other columns) with the name and the compressed text z of each class; texts leave the scan once."""
+    ask = wanted.join(reps.select("cls", "name", F.col("one.doc_id").alias("w_id"), F.col("one.k").alias("w_k")), "cls")
 
     def pack(ids, ks, texts):
         z = zstandard.ZstdCompressor(level=3)
@@ -203,7 +203,18 @@ def _store(docs: DataFrame, reps: DataFrame, shared: DataFrame) -> DataFrame:
 
     packed = map_chunks(_named(docs), ["doc_id", "k", "text"], pack, f"doc_id {type_of(docs, 'doc_id')}, k bigint, z binary")
     met = packed.join(ask, (F.col("k") == F.col("w_k")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return materialised(met.select("cls", "name", "z"))
+    return met.select(*wanted.columns, "name", "z")
+
+
+def _pivot_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b), one for each a, whose sets are similar enough; texts go from the scan to b."""
+    ask = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("b").alias("to")).distinct())
+    moved = materialised(_texts(docs, reps, ask))
+    left = moved.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b"), F.col("name").alias("name_a"), F.col("z").alias("z_a"))
+    right = moved.where("cls = to").select(F.col("cls").alias("w"), F.col("name").alias("name_b"), F.col("z").alias("z_b"))
+    out = _compared(left, right)
+    drop_table(moved)
+    return out
 
 
 def _linked(pairs: DataFrame, store: DataFrame) -> DataFrame:
@@ -212,6 +223,13 @@ def _linked(pairs: DataFrame, store: DataFrame) -> DataFrame:
     # Written, so that both sides of the join below come from an exchange; only then are hot partitions split.
     wanted = store.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi")
     right = materialised(wanted.select(F.col("cls").alias("w"), F.col("name").alias("name_b"), F.col("z").alias("z_b")))
+    out = _compared(left, right)
+    drop_table(right)
+    return out
+
+
+def _compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of ``a, b, name_a, z_a`` and ``w, name_b, z_b``, with b = w, that link."""
 
     def compare(a, b, name_a, name_b, z_a, z_b):
         unzip = zstandard.ZstdDecompressor()
@@ -226,9 +244,7 @@ def _linked(pairs: DataFrame, store: DataFrame) -> DataFrame:
                 yield a[i], b[i]
 
     both = left.join(right, F.col("b") == F.col("w"))
-    out = materialised(map_chunks(both, ["a", "b", "name_a", "name_b", "z_a", "z_b"], compare, "a bigint, b bigint", rows=CHUNK))
-    drop_table(right)
-    return out
+    return materialised(map_chunks(both, ["a", "b", "name_a", "name_b", "z_a", "z_b"], compare, "a bigint, b bigint", rows=CHUNK))
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -349,7 +365,7 @@ def _fine(pairs: DataFrame, store: DataFrame) -> DataFrame:
     return pairs.where(_may_link(F.col("n_a") + F.col("n_b"), apart("bits_a", "bits_b"))).select("a", "b")
 
 
-def _near(pairs: DataFrame, store: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """``cls, name, z, n, bits`` of the classes in pairs (a, b), with longer parity bits."""
 
     def mark(cls, names, zs):
@@ -359,10 +375,10 @@ def _near(pairs: DataFrame, store: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     schema = "cls bigint, name binary, z binary, n bigint, bits array<bigint>"
-    return materialised(map_chunks(store.join(wanted, "cls", "left_semi"), ["cls", "name", "z"], mark, schema, rows=CHUNK))
+    return materialised(map_chunks(_texts(docs, reps, wanted), ["cls", "name", "z"], mark, schema, rows=CHUNK))
 
 
-def _rounds(pairs: DataFrame, state: DataFrame, store: DataFrame) -> list[DataFrame]:
+def _rounds(pairs: DataFrame, state: DataFrame, docs: DataFrame, reps: DataFrame) -> list[DataFrame]:
     """Edges between roots (a, b) after which no pair (a, b, h) of different components is left that was not tried.
 
     A round tries, for each class, its likeliest open pair: that whose bits differ least. What it joins closes other pairs, which
@@ -370,7 +386,7 @@ def _rounds(pairs: DataFrame, state: DataFrame, store: DataFrame) -> list[DataFr
     them. Each round takes four times as many pairs a class as the one before, so rounds are few where all fail. Only the state
     of classes in pairs takes part.
     """
-    near, slots, found = _near(pairs, store), 1, []
+    near, slots, found = _near(pairs, docs, reps), 1, []
     state = materialised(state.join(near.select("cls"), "cls", "left_semi"))
     while True:
         open_ = materialised(_rooted(pairs, state).where("r_a <> r_b").select("a", "b", "h"))
@@ -403,10 +419,9 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialised(_postings(wide))
     reps = materialised(wide.select("cls", "name", "one", F.size("p").alias("places"), "bits"))
     drop_table(wide)
-    store = _store(docs, reps, shared)
 
     best = _pivots(shared, reps)
-    links = _linked(best, store)
+    links = _pivot_links(best, docs, reps)
     alone = materialised(reps.select("cls", F.col("cls").alias("root")))
     state = _joined(alone, links)
 
@@ -414,10 +429,10 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = shared.join(state, "cls").select(*shared.columns, "root")
     again = _candidates(member, reps)
     drop_table(shared)
-    edges = _rounds(again, state, store)
+    edges = _rounds(again, state, docs, reps)
     final = _joined(state, reduce(DataFrame.unionByName, edges)) if edges else state
     named = materialised(reps.join(final, "cls").select("name", "root"))
-    for t in (best, reps, links, store, alone, state, *edges):
+    for t in (best, reps, links, alone, state, *edges):
         drop_table(t)
     return rows, named
 

@@ -151,14 +151,14 @@ def test_group_around_the_threshold(spark):
 
 @pytest.fixture
 def moved(monkeypatch):
-    """How many pairs of texts each call of ``_linked`` is given."""
-    counts, linked = [], J._linked
+    """How many pairs of texts are brought together each time."""
+    counts = []
 
-    def counting(pairs, store):
-        counts.append(pairs.count())
-        return linked(pairs, store)
+    def counting(f):
+        return lambda pairs, *rest: counts.append(pairs.count()) or f(pairs, *rest)
 
-    monkeypatch.setattr(J, "_linked", counting)
+    for name in ("_linked", "_pivot_links"):
+        monkeypatch.setattr(J, name, counting(getattr(J, name)))
     return counts
 
 
