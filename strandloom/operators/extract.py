@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codec
+
 NOT_BASE = "[^ACGT]+"
 #: Windows per tile of a run; ``substring`` rescans its string, so long runs are cut before windows are taken.
 TILE = 1024
+#: Windows of a task after ``spread``, about.
+WINDOWS = 1 << 20
 
 
 def base_validity(df: DataFrame, seq: str, *keep: str) -> DataFrame:
@@ -34,6 +38,19 @@ def tiles(runs: DataFrame, k: int, *keep: str, size: int = TILE) -> DataFrame:
     return cut.select(*keep, "tile_start", F.substring(F.col("run"), F.col("tile_start"), F.lit(size + k - 1)).alias("tile"))
 
 
+def spread(df: DataFrame, seq: str, k: int, *by: str, size: int | None = None) -> DataFrame:
+    """The same rows, dealt out (by columns, if any are named) so that a task makes about ``size`` windows.
+
+    Sequences are small beside their windows, so a table of few bytes has few tasks, each with far more windows than its memory
+    takes. The windows are counted first, which reads the table once more. A stream is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    n = df.agg(F.sum(codec.windows_bound(F.col(seq), k))).first()[0] or 0
+    tasks = -(-n // (size or WINDOWS))
+    return df.repartition(tasks, *by) if tasks > 1 else df
+
+
 def kmer_positions(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
     """``keep..., run_no, pos bigint (1-based in the run), kmer`` for every valid window."""
     if k < 1:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from .extract import tiles, valid_runs
+from .extract import WINDOWS, spread, tiles, valid_runs
 
 #: Windows of a packed tile.
 PACKED_TILE = 128
@@ -45,8 +45,11 @@ def _cut(words: Column, first: Column, k: int) -> list[Column]:
 
 def packed_windows(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
     """``keep..., w0, w1, ...``: the words of every valid window, as ``extract.kmer_positions`` finds them."""
+    return _windows(tiles(valid_runs(df, seq, *keep, min_length=k), k, *keep), k, *keep)
+
+
+def _windows(long: DataFrame, k: int, *keep: str) -> DataFrame:
     names = word_names(k)
-    long = tiles(valid_runs(df, seq, *keep, min_length=k), k, *keep)
     short = tiles(long.withColumnRenamed("tile", "run"), k, *keep, size=PACKED_TILE)
     n = -(-(PACKED_TILE + k - 1) // codec.BASES_PER_WORD)
     packed = short.select(*keep, (F.length("tile") - k).alias("last"), _tile_words(F.col("tile"), n).alias("tile_words"))
@@ -56,7 +59,10 @@ def packed_windows(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
 
 def count_packed(df: DataFrame, seq: str, k: int) -> DataFrame:
     """``w0, w1, ..., cnt bigint``: counts of all windows under packed keys."""
-    return packed_windows(df, seq, k).groupBy(*word_names(k)).agg(F.count(F.lit(1)).alias("cnt"))
+    pieces = tiles(valid_runs(df, seq, min_length=k), k)
+    # Few keys stay few in a task's table, however much it reads.
+    pieces = pieces if 4**k <= WINDOWS else spread(pieces, "tile", k)
+    return _windows(pieces, k).groupBy(*word_names(k)).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def merge_packed_counts(*tables: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def merge_packed_counts(*tables: DataFrame) -> DataFrame:
 
 def unpacked(counts: DataFrame, k: int) -> DataFrame:
     """``kmer string`` in place of the words."""
-    letters = [F.translate(F.lpad(F.conv(F.hex(w), 16, 4), codec.BASES_PER_WORD, "0"), codec.DIGITS, codec.BASES) for w in word_names(k)]
+    letters = [codec.word_letters(F.col(w)) for w in word_names(k)]
     rest = [c for c in counts.columns if c not in word_names(k)]
     return counts.select(F.substring(F.concat(*letters), 1, k).alias("kmer"), *rest)
 
