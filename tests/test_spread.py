@@ -1,7 +1,9 @@
 """Windows are spread over tasks, and words of packed keys are read without strings."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from strandloom.jobs import registry
 from strandloom.operators import count as C
 from strandloom.operators import extract as X
 from strandloom.operators import packed as P
+from strandloom.sources import fastq as FQ
 
 
 @pytest.fixture
@@ -52,6 +55,21 @@ def test_reduce_adjacent_shuffles_reads(spark, sf_dir, small_tasks):
     assert_same(found, sf_dir, registry.ORACLE_SQL["reduce_adjacent"])
 
 
+def test_fastq_pieces_take_little_memory():
+    """Cutting a buffer takes a few bytes for each of its own, not dozens."""
+    r = np.random.default_rng(1)
+    record = lambda n: b"@r\n" + bytes(r.choice(list(b"ACGT"), n).astype(np.uint8)) + b"\n+\n" + b"I" * n + b"\n"
+    data = np.frombuffer(b"".join(record(n) for n in (0, 1, 0, 7, 90)) + b"@\nAC\r\n+\nII\r\n" + record(1_000_000), np.uint8)
+    starts, ends = FQ._lines(data)
+    tracemalloc.start()
+    found = FQ._strings(data, starts[1::4], ends[1::4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lines = data.tobytes().split(b"\n")[1::4]
+    assert found.to_pylist() == [x.rstrip(b"\r").decode() for x in lines]
+    assert peak < 4 * len(data)
+
+
 def test_words_without_strings(spark):
     for k in (3, 32, 33, 70):
         letters = [x[:k] for x in reads()] + ["T" * k, "A" * k]
