@@ -12,20 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import codec
-from .extract import WINDOWS, extract_kmers, spread
+from .extract import WINDOWS, extract_kmers
 from .packed import count_packed, unpacked
 
 
 def count_kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
     """``kmer string, cnt bigint`` over all sequences, in no order; empty if every sequence is shorter than k.
 
-    Keys of more than a word are packed: a row of the shuffle is shorter, and the letters are written out once for each distinct k-mer.
+    Many possible keys are packed: a row of the shuffle is shorter, and the letters are written out once for each distinct k-mer.
     """
-    if k > codec.BASES_PER_WORD:
+    if 4**k > WINDOWS:
         return unpacked(count_packed(df, seq, k), k)
-    reads = df if 4**k <= WINDOWS else spread(df, seq, k)
-    return extract_kmers(reads, seq, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    return extract_kmers(df, seq, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def distinct_kmers(df: DataFrame, seq: str, k: int) -> DataFrame:

@@ -38,16 +38,21 @@ def tiles(runs: DataFrame, k: int, *keep: str, size: int = TILE) -> DataFrame:
     return cut.select(*keep, "tile_start", F.substring(F.col("run"), F.col("tile_start"), F.lit(size + k - 1)).alias("tile"))
 
 
+def tasks_of(df: DataFrame, seq: str, k: int, size: int | None = None) -> int:
+    """Tasks of about ``size`` windows each that the sequences need: they are read once more to count their windows. One for a stream."""
+    if df.isStreaming:
+        return 1
+    n = df.agg(F.sum(codec.windows_bound(F.col(seq), k))).first()[0] or 0
+    return max(1, -(-n // (size or WINDOWS)))
+
+
 def spread(df: DataFrame, seq: str, k: int, *by: str, size: int | None = None) -> DataFrame:
     """The same rows, dealt out (by columns, if any are named) so that a task makes about ``size`` windows.
 
     Sequences are small beside their windows, so a table of few bytes has few tasks, each with far more windows than its memory
     takes. The windows are counted first, which reads the table once more. A stream is left as it is.
     """
-    if df.isStreaming:
-        return df
-    n = df.agg(F.sum(codec.windows_bound(F.col(seq), k))).first()[0] or 0
-    tasks = -(-n // (size or WINDOWS))
+    tasks = tasks_of(df, seq, k, size)
     return df.repartition(tasks, *by) if tasks > 1 else df
 
 

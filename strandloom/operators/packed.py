@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from .extract import WINDOWS, spread, tiles, valid_runs
+from .extract import WINDOWS, tasks_of, tiles, valid_runs
 
 #: Windows of a packed tile.
 PACKED_TILE = 128
@@ -59,10 +59,29 @@ def _windows(long: DataFrame, k: int, *keep: str) -> DataFrame:
 
 def count_packed(df: DataFrame, seq: str, k: int) -> DataFrame:
     """``w0, w1, ..., cnt bigint``: counts of all windows under packed keys."""
-    pieces = tiles(valid_runs(df, seq, min_length=k), k)
+    names = word_names(k)
     # Few keys stay few in a task's table, however much it reads.
-    pieces = pieces if 4**k <= WINDOWS else spread(pieces, "tile", k)
-    return _windows(pieces, k).groupBy(*word_names(k)).agg(F.count(F.lit(1)).alias("cnt"))
+    tasks = 1 if 4**k <= WINDOWS else tasks_of(df, seq, k)
+    if tasks == 1:
+        return packed_windows(df, seq, k).groupBy(*names).agg(F.count(F.lit(1)).alias("cnt"))
+    parts = task_counts(df, seq, k, tasks).repartition(tasks, *names)
+    return parts.groupBy(*names).agg(F.sum("cnt").cast("bigint").alias("cnt"))
+
+
+def task_counts(df: DataFrame, seq: str, k: int, tasks: int) -> DataFrame:
+    """``w0, w1, ..., cnt``: the counts of each of so many tasks, to be summed by key.
+
+    A caller's exchange then has as many partitions as the windows need, where that of a plain aggregation has
+    ``spark.sql.shuffle.partitions``, whatever the number of keys. Reads are dealt out first, so that copies of one read part;
+    then their pieces, since a read may be long. A piece's task is known from what it holds and where it lies, so that a repeated task deals
+    alike; Spark knows that a task's keys are in one place, so nothing is shuffled between windows and counts.
+    """
+    runs = valid_runs(df.repartition(tasks), seq, min_length=k)
+    pieces = tiles(runs, k, "run_no")
+    task = F.pmod(F.xxhash64("tile", "tile_start", "run_no", F.spark_partition_id()), F.lit(tasks)).cast("int")
+    dealt = pieces.select("tile", task.alias("_task")).repartitionById(tasks, "_task")
+    names = word_names(k)
+    return _windows(dealt, k, "_task").groupBy("_task", *names).agg(F.count(F.lit(1)).alias("cnt")).drop("_task")
 
 
 def merge_packed_counts(*tables: DataFrame) -> DataFrame:
