@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.count import merge_counts, nonzero, sort_kmers
 from ..operators.packed import count_packed, unpacked
-from ..operators.runs import sort_packed
+from ..operators.runs import count_sorted
 from ..sources.fastq import read_fastq
 from ..sources.kmer_file import is_sorted, merge_sorted, print_lines, read_kmer_file, write_kmer_file, write_words
 
@@ -46,8 +46,7 @@ def run(spark: SparkSession, o: Options) -> None:
         else:
             counts.write.mode("overwrite").parquet(o.target)
     else:
-        counts = count_packed(read_fastq(spark, o.source), "seq", o.k)
-        counts = sort_packed(counts, o.k) if o.ordered else counts
+        counts = (count_sorted if o.ordered else count_packed)(read_fastq(spark, o.source), "seq", o.k)
         if o.form == "packed":
             write_words(counts, o.target, o.k)
         else:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
 from ..sources.packed_format import changes
-from .packed import order_of, word_names
+from .extract import WINDOWS, tasks_of
+from .packed import count_packed, order_of, task_counts, word_names
 
 
 def sort_packed(rows: DataFrame, k: int) -> DataFrame:
@@ -23,6 +24,18 @@ def sort_packed(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(*order_of(k))
 
 
+def count_sorted(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """``count_packed`` in the order of the letters. Many keys are summed and sorted in the ranges of one exchange, as many as the windows need."""
+    tasks = 1 if 4**k <= WINDOWS else tasks_of(df, seq, k)
+    if tasks == 1:
+        return sort_packed(count_packed(df, seq, k), k)
+    names = word_names(k)
+    # The keys of the exchange and of the sums are the same columns, so that a range holds its keys whole.
+    turned = task_counts(df, seq, k, tasks).select(*[o.alias(c) for c, o in zip(names, order_of(k), strict=True)], "cnt")
+    sums = turned.repartitionByRange(tasks, *names).groupBy(*names).agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    return sums.sortWithinPartitions(*names).select(*[o.alias(c) for c, o in zip(names, order_of(k), strict=True)], "cnt")
+
+
 def reduce_sorted(rows: DataFrame, k: int) -> DataFrame:
     """``w0, w1, ..., cnt`` of a globally ordered table of the same columns, equal keys summed.
 

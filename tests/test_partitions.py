@@ -10,11 +10,12 @@ from strandloom.jobs import registry
 from strandloom.operators import count as C
 from strandloom.operators import extract as X
 from strandloom.operators import packed as P
+from strandloom.operators import runs
 
 
 @pytest.fixture
 def small_tasks(monkeypatch):
-    for module in (X, P, C):
+    for module in (X, P, C, runs):
         monkeypatch.setattr(module, "WINDOWS", 1000, raising=False)
 
 
@@ -45,6 +46,24 @@ def test_frequent_keys_and_copies_part(spark, small_tasks):
     assert counted(C.count_kmers(df, "seq", 64)) == {"A" * 64: 9700}
 
 
+@pytest.mark.parametrize("k", [33, 40, 64])
+def test_sorted_counts_take_one_exchange_of_keys(spark, small_tasks, k):
+    """Ranges are as many as the windows need, in unsigned order, and keys are summed in them."""
+    texts = [*reads(), "T" * 160, "A" * 160, "A" * 160]
+    found = runs.count_sorted(frame(spark, texts).coalesce(1), "seq", k)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and " hashpartitioning" not in plan
+    want = brute(texts, k)
+    assert [(r["kmer"], r["cnt"]) for r in P.unpacked(found, k).collect()] == sorted(want.items())
+    per = rows_by_task(found)
+    assert len(per) > 5 and max(per.values()) < 2000
+
+
+def test_few_windows_are_sorted_as_before(spark):
+    found = runs.count_sorted(frame(spark, reads(3)), "seq", 33)
+    assert [r["kmer"] for r in P.unpacked(found, 33).collect()] == sorted(brute(reads(3), 33))
+
+
 def test_reads_are_derived_by_many_tasks(spark, sf_dir, monkeypatch):
     """A customer table of one split is dealt out before its reads are derived."""
     monkeypatch.setattr(registry, "KEYS", 20)
