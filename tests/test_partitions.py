@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from oracle import assert_same
 from pyspark.sql import functions as F
 from test_kmers import brute, counted, frame
 
@@ -70,3 +71,19 @@ def test_reads_are_derived_by_many_tasks(spark, sf_dir, monkeypatch):
     found = registry.long_reads(spark, sf_dir)
     n = found.count()
     assert len(rows_by_task(found)) == -(-n // 20) and found.distinct().count() == n
+
+
+@pytest.mark.parametrize("query", ["kmer_count_packed_k128"])
+def test_tasks_of_a_query_do_not_grow_with_the_table(spark, sf_dir, tmp_path, small_tasks, query):
+    """Six times the customers make more final tasks, not larger ones, and the rows are those of the SQL."""
+    customers, largest = spark.read.parquet(f"{sf_dir}/customer.parquet"), []
+    n = customers.count()
+    for copies in (2, 12):
+        at = tmp_path / str(copies)
+        shifted = customers.crossJoin(spark.range(copies)).withColumn("c_custkey", F.col("c_custkey") + F.col("id") * n).drop("id")
+        at.mkdir()
+        shifted.toPandas().to_parquet(at / "customer.parquet")
+        found = registry.QUERIES[query](spark, str(at))
+        largest.append(max(rows_by_task(found).values()))
+        assert_same(found, str(at), registry.ORACLE_SQL[query])
+    assert max(largest) < 1300
