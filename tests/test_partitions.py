@@ -73,7 +73,7 @@ def test_reads_are_derived_by_many_tasks(spark, sf_dir, monkeypatch):
     assert len(rows_by_task(found)) == -(-n // 20) and found.distinct().count() == n
 
 
-@pytest.mark.parametrize("query", ["kmer_count_packed_k128", "kmer_count_k128", "kmer_count_k96"])
+@pytest.mark.parametrize("query", ["kmer_count_packed_k128", "kmer_count_k128", "kmer_count_k96", "kmer_count_packed_k33"])
 def test_tasks_of_a_query_do_not_grow_with_the_table(spark, sf_dir, tmp_path, small_tasks, query):
     """Six times the customers make more final tasks, not larger ones, and the rows are those of the SQL."""
     customers, largest = spark.read.parquet(f"{sf_dir}/customer.parquet"), []
