@@ -1,6 +1,7 @@
 """The tasks of a count follow its windows, whatever ``spark.sql.shuffle.partitions`` is."""
 
 import random
+import uuid
 
 import pytest
 from oracle import assert_same
@@ -87,3 +88,34 @@ def test_tasks_of_a_query_do_not_grow_with_the_table(spark, sf_dir, tmp_path, sm
         largest.append(max(rows_by_task(found).values()))
         assert_same(found, str(at), registry.ORACLE_SQL[query])
     assert max(largest) < 1300
+
+
+def most_shuffled(spark, run):
+    """Rows that one task writes to shuffles at most while something runs, by Spark's own metrics."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "")
+    run()
+    sc.setJobGroup("", "")
+    store, tracker, most = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 100_000) if tracker.getStageInfo(stage).numCompletedTasks else None
+        for i in range(tasks.size() if tasks else 0):
+            most = max(most, tasks.apply(i).taskMetrics().get().shuffleWriteMetrics().recordsWritten())
+    return most
+
+
+@pytest.mark.parametrize("query", ["kmer_count_packed_k128"])
+def test_keys_held_before_the_shuffle_do_not_grow_with_the_table(spark, sf_dir, tmp_path, small_tasks, query):
+    """A task that counts windows holds, and sends, about WINDOWS keys; the scan's task had those of its whole split before."""
+    customers, most = spark.read.parquet(f"{sf_dir}/customer.parquet"), []
+    n = customers.count()
+    for copies in (2, 12):
+        at = tmp_path / str(copies)
+        at.mkdir()
+        shifted = customers.crossJoin(spark.range(copies)).withColumn("c_custkey", F.col("c_custkey") + F.col("id") * n).drop("id")
+        shifted.toPandas().to_parquet(at / "customer.parquet")
+        found = registry.QUERIES[query](spark, str(at))
+        most.append(most_shuffled(spark, lambda found=found: found.write.format("noop").mode("overwrite").save()))
+    # A read's 33 to 128 windows go to one task, so tasks of 1,000 differ.
+    assert 0 < min(most) and max(most) < 4000
