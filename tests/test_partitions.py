@@ -105,7 +105,7 @@ def most_shuffled(spark, run):
     return most
 
 
-@pytest.mark.parametrize("query", ["kmer_count_packed_k128", "kmer_count_packed_k33"])
+@pytest.mark.parametrize("query", ["kmer_count_packed_k128", "kmer_count_packed_k33", "kmer_count_k96"])
 def test_keys_held_before_the_shuffle_do_not_grow_with_the_table(spark, sf_dir, tmp_path, small_tasks, query):
     """A task that counts windows holds, and sends, about WINDOWS keys; the scan's task had those of its whole split before."""
     customers, most = spark.read.parquet(f"{sf_dir}/customer.parquet"), []
